@@ -6,13 +6,14 @@ code, checksum, location, offset and file name come before the length). Every re
 and a newline. The converter reads the version block first, then takes records by declared lengths only, so payloads may hold
 lines that look like headers.
 
-Files are written by Spark's text writer, one record per row, in groups of about FILE_BYTES, so the commit protocol covers
+Files are written by Spark's text writer with gzip, one record per row, in groups of about FILE_BYTES, so the commit protocol covers
 them and a lost executor leaves none behind. Readers take one file per row.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -150,12 +151,12 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _write(rows: DataFrame, path: str, line_end: str) -> None:
     """Write (file, seq, value) rows, in order within a file."""
-    rows.sortWithinPartitions("file", "seq").select("file", "value").write.partitionBy("file").option("lineSep", line_end).text(path)
+    rows.sortWithinPartitions("file", "seq").select("file", "value").write.partitionBy("file").option("lineSep", line_end).option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(name, content) of every file below a path; none if the path has no files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select(F.regexp_extract("path", r"(file=[^/]*/[^/]*)$", 1).alias("name"), "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(path).select(F.regexp_extract("path", r"(file=[^/]*/[^/]*)$", 1).alias("name"), "content")
 
 
 def write_arc(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 1) -> None:
@@ -186,7 +187,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
                 rows = []
-                for r in parse_arc(content.as_py()):
+                for r in parse_arc(gzip.decompress(content.as_py())):
                     if r.url.startswith("filedesc:"):
                         continue
                     head, body = http_parts(r.block)
@@ -252,7 +253,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for head, block in parse_warc(content.as_py()):
+                for head, block in parse_warc(gzip.decompress(content.as_py())):
                     kind, declared = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     body = None if kind == "revisit" else http_parts(block)[1]
                     if body is not None and (sha1(body) != declared or len(body) != int(head["x-payload-length"])):
