@@ -117,7 +117,7 @@ class ShardStore:
         """Write the rows of `df` as new shards, one for each partition that has rows, and commit them."""
         version, shards = self.manifest()
         name = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.commit(version + 1, shards + self._written(name, version + 1))
 
     def compact(self) -> int:
@@ -131,7 +131,7 @@ class ShardStore:
             number = F.broadcast(self.spark.createDataFrame(pairs, f"__file string, {GROUP} int"))
             rows = self.spark.read.parquet(*(base + s.path for g in groups for s in g)).withColumn("__file", F.col("_metadata.file_name"))
             merged = rows.join(number, "__file").drop("__file").repartitionById(len(groups), F.col(GROUP))
-            merged.drop(GROUP).write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/{name}")
+            merged.drop(GROUP).write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(f"{self.root}/{name}")
             gone = {s.path for g in groups for s in g}
             shards = [s for s in shards if s.path not in gone] + self._written(name, min(s.arrival for g in groups for s in g))
             version = self.commit(version + 1, shards)
