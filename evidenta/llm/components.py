@@ -12,7 +12,7 @@ MAX_ROUNDS = 60
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node that has an edge to another one; component is its smallest node.
+    """(node, component) of every node but the smallest of each component; component is that smallest node.
 
     Each round links every node's larger neighbours to its smallest neighbour (large star), then all smaller neighbours to
     the smallest (small star); stars are what remains. Both are aggregates with partial sums, so that a hub's neighbours are
