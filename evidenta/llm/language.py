@@ -33,8 +33,8 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 #: Labelled documents of a language that the machines are fitted on, at most.
 PER_LANGUAGE = 600
-#: Parts that a language's rows are ranked in first.
-SALTS = 64
+#: Leading bits of a key's hash by which labelled rows are counted before they are ranked.
+BUCKET_BITS = 10
 DIMS = 64**3
 LETTER = re.compile(r"[^\W\d_]")
 #: How fast a decision's score goes from 0.5 to 1 with the mean weight of a trigram, in units of its spread in training.
@@ -121,11 +121,13 @@ def train(df: DataFrame, where=None, key: str = "doc_id", text: str = "text", la
     """Fit the machines on labelled rows of `df` (those that `where` allows); rows with a null text, key or language are left out."""
     known = df.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
     known = known if where is None else known.where(where)
-    # first within salted parts of a language, so that no task ranks more than SALTS * per_language rows of a frequent one
-    ids = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(SALTS)).alias("salt"))
-    for group in (("lang", "salt"), ("lang",)):
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("key"), "key"))
-        ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    ids = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("hash")).withColumn("bucket", F.shiftright("hash", 64 - BUCKET_BITS))
+    # only the hash buckets that the least hashes lie in are ranked, so that a frequent language isn't sorted in one task
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ids.groupBy("lang", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    reached = sizes.where(F.col("before") < per_language).select("lang", "bucket")  # at most 2**BUCKET_BITS rows of a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key"))
+    ids = ids.join(F.broadcast(reached), ["lang", "bucket"], "left_semi").withColumn("rank", rank).where(F.col("rank") <= per_language)
     ids = ids.select("key").distinct()  # at most per_language keys for each language
     chosen = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids), "key", "left_semi")
 
