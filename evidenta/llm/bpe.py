@@ -31,7 +31,8 @@ from evidenta.llm.common import blocks, pieces, slices
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of 50,257 entries.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids are remembered by a worker; the table is emptied when full, so memory is bounded.
+#: Pieces whose ids are remembered by a worker. A full table becomes the older one, from which what recurs is taken over, and
+#: the one before it goes, so memory is bounded.
 REMEMBERED = 300_000
 #: Ids that are decoded at once.
 DECODE_IDS = 1 << 18
@@ -85,8 +86,10 @@ class Bpe:
         self.sizes = [*map(len, self.bytes)]
         self.fits: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}  # ids of remembered pre-tokens
-        self.decimals: dict[str, str] = {}  # of each remembered piece, with the space before it: its ids in decimal
-        self.raw: dict[str, bytes] = {}  # and as int32
+        self.older_words: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}  # of each remembered piece, with the space before it: its ids in decimal and as int32
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.names = [*map(str, range(size))]
         self.find = regex.compile(PATTERN).findall
         self.maybe = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -167,22 +170,24 @@ class Bpe:
                 for word in self.find(part):
                     ids = self.words.get(word)
                     if ids is None:
-                        ids = self.encode_pretoken(word.encode())
+                        ids = self.older_words.get(word) or self.encode_pretoken(word.encode())
                         if len(self.words) >= REMEMBERED:
-                            self.words.clear()
+                            self.older_words, self.words = self.words, {}
                         if len(word) <= 200:
                             self.words[word] = ids
                     out += ids
         return out
 
-    def _remember(self, piece: str) -> str:
-        ids = self.encode_piece(" " + piece)
-        if len(self.decimals) >= REMEMBERED:
-            self.decimals.clear()
-            self.raw.clear()
-        self.raw[piece] = array("i", ids).tobytes()
-        self.decimals[piece] = out = ",".join(map(str, ids))
-        return out
+    def _remember(self, piece: str) -> tuple[str, bytes]:
+        found = self.older.get(piece)
+        if found is None:
+            ids = self.encode_piece(" " + piece)
+            found = ",".join(map(self.names.__getitem__, ids)), array("i", ids).tobytes()
+        if len(piece) <= 200:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[piece] = found
+        return found
 
     def encode_blocks(self, text: str) -> Iterator[tuple[str, np.ndarray]]:
         """The ids of a text, in decimal and as numbers, for one block of pieces after the other."""
@@ -191,16 +196,11 @@ class Bpe:
             if first.startswith(" "):  # any block but the first
                 rest, first = [first[1:], *rest], None
             head = [] if first is None else self.encode_piece(first)
-            found = list(map(self.decimals.get, rest))
-            if None in found:
-                long = {p: self.encode_piece(" " + p) for p, d in zip(rest, found, strict=True) if d is None and len(p) > 200}
-                found = [d if d is not None else ",".join(map(str, long[p])) if p in long else self.decimals.get(p) or self._remember(p) for p, d in zip(rest, found, strict=True)]
-                raw = [self.raw[p] if p in self.raw else array("i", long.get(p) or self.encode_piece(" " + p)).tobytes() for p in rest]
-            else:
-                raw = map(self.raw.__getitem__, rest)
+            get, remember = self.known.get, self._remember
+            decimals, raw = zip(*[get(p) or remember(p) for p in rest], strict=True) if rest else ((), ())
             ids = np.frombuffer(array("i", head).tobytes() + b"".join(raw), np.int32)
             if len(ids):
-                yield ",".join([*([",".join(map(str, head))] if head else []), *found]), ids
+                yield ",".join([*([",".join(map(str, head))] if head else []), *decimals]), ids
 
     def encode(self, text: str) -> list[int]:
         return [t for _, ids in self.encode_blocks(text) for t in ids.tolist()]
