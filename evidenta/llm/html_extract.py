@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees of block elements. Trees of one host are aligned by simple tree matching and folded into one template: a
-node whose text is the same on all pages is template, one whose text varies is a slot. Runs of like siblings (paragraphs, list
-items) fold into one node. Folding is associative, so each task folds its own pages and partial templates are folded by host
-in two rounds; no task sees all pages of a host. A page is then read along its host's template: constant nodes go, as do
-elements that are boilerplate by name (menus, forms, notices, comments ...), and the slots of the content element stay.
+node whose text is the same on all pages that have it, and that stands on half of the host's distinct pages or more, is
+template; any other is a slot. Pages of equal text count once. Runs of like siblings (paragraphs, list items) fold into one
+node. Folding is associative, so each task folds its own pages and partial templates are folded by host in two rounds; no task
+sees all pages of a host. A page is then read along its host's template: constant nodes go, as do elements that are
+boilerplate by name (menus, forms, notices, comments ...), and the slots of the content element stay.
 """
 
 from __future__ import annotations
@@ -47,6 +48,10 @@ HEADER_WORDS = frozenset("header head topbar masthead banner".split())
 CONTENT_WORDS = frozenset("content article post entry story main maincontent articlebody body text".split())
 #: A node is taken for template only if so many pages of the host agree on it and the host's pages differ elsewhere.
 LEAST_PAGES = 4
+#: And only if it stands on this share of the host's distinct pages.
+LEAST_SHARE = 0.5
+#: Elements of a marked content element that stay, however many pages share them, unless they are boilerplate by name.
+KEPT = HEADINGS | frozenset("p li blockquote pre article main section div ul ol dl dt dd figure figcaption table caption thead tbody tfoot tr th td".split())
 #: Elements nested deeper are read as text of the element at this depth.
 DEEPEST = 120
 #: A node with more runs of children is folded by their names alone, so that alignment stays cheap.
@@ -232,8 +237,8 @@ def varies(t: list) -> bool:
     return t[2] == 0 or any(map(varies, t[4]))
 
 
-def constant_nodes(node: Node, t: list | None, out: set[int]) -> None:
-    """Ids of the nodes of a page that are template: node and subtree have the same text on all of LEAST_PAGES or more pages."""
+def constant_nodes(node: Node, t: list | None, least: float, out: set[int]) -> None:
+    """Ids of the nodes of a page that are template: node and subtree have the same text on all of `least` or more pages."""
     if t is None:
         return
     groups: list[list[Node]] = []
@@ -249,11 +254,11 @@ def constant_nodes(node: Node, t: list | None, out: set[int]) -> None:
         groups = [*by.values()]
     for i, j in align([[g[0].key, 1, 0, False, []] for g in groups], [[c[0], 1, 0, False, []] for c in t[4]])[1]:
         c = t[4][j]
-        if c[1] >= LEAST_PAGES and not varies(c):
+        if c[1] >= least and not varies(c):
             out.update(map(id, groups[i]))
         else:
             for child in groups[i]:
-                constant_nodes(child, c, out)
+                constant_nodes(child, c, least, out)
 
 
 # --- text
@@ -320,12 +325,12 @@ def extract(page: str | None, wrapper: list | None) -> str:
     element, marked = chosen(root)
     constant: set[int] = set()
     if wrapper is not None and wrapper[1] >= LEAST_PAGES and varies(wrapper):
-        constant_nodes(root, wrapper, constant)
-        if marked:  # an article's own headings and paragraphs stay, however many pages share them
+        constant_nodes(root, wrapper, max(LEAST_PAGES, LEAST_SHARE * wrapper[1]), constant)
+        if marked:
             keep = [element]
             while keep:
                 x = keep.pop()
-                if x.tag in HEADINGS or x.tag in ("p", "li", "blockquote", "pre", "article", "main", "td"):
+                if x.tag in KEPT:
                     constant.discard(id(x))
                 keep += x.children()
     return "\n\n".join(text_blocks(element, constant, marked))
@@ -345,9 +350,16 @@ def host_of(url) -> F.Column:
 
 
 def induce(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, wrapper): the template of all pages of each host, as JSON. Pages without a host give none."""
+    """(host, wrapper): the template of all distinct pages of each host, as JSON. Pages without a host give none."""
     source = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).where("host <> '' and html <> ''")
 
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                roots = [parse(x) for x in part.column("html").to_pylist()]
+                texts = [digest("\n".join(text_blocks(r, frozenset(), False))) for r in roots]
+                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(texts, pa.int64()), pa.array([json.dumps(template(r)) for r in roots], pa.string())], ["host", "text", "wrapper"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
@@ -357,9 +369,9 @@ def induce(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
             return made
 
         for batch in batches:
-            for part in slices(batch, "html"):
-                for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    t = template(parse(text))
+            for part in slices(batch, "wrapper"):
+                for host, blob in zip(part.column("host").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
+                    t = json.loads(blob)
                     held[host] = fold(held[host], t) if host in held else t
                 if len(held) > HELD_HOSTS:
                     yield out()
@@ -373,7 +385,9 @@ def induce(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
             total = t if total is None else fold(total, t)
         return pdf.iloc[:1].assign(wrapper=json.dumps(total))[["host", "wrapper"]]
 
-    partial = source.mapInArrow(run, "host string, wrapper string")
+    # pages of equal text are one page; only templates are shuffled
+    distinct = source.mapInArrow(single, "host string, text long, wrapper string").groupBy("host", "text").agg(F.min("wrapper").alias("wrapper"))
+    partial = distinct.select("host", "wrapper").mapInArrow(run, "host string, wrapper string")
     some = partial.withColumn("salt", F.spark_partition_id() % 16).groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
     return some.groupBy("host").applyInPandas(merge, "host string, wrapper string")
 

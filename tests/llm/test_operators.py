@@ -164,6 +164,21 @@ def test_html_extraction(spark):
     assert got[9] == got[10] == "" and not any(w in got[3] for w in ("Home", "reader", "(c)", "x()"))
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(k, "http://h.example/" + str(k), x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_extract.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_html_boxes_of_few_pages_stay(spark):
+    box = "<ul class='specs'><li>shared item</li></ul>"
+    for a, b in (("<article>", "</article>"), ("", "")):
+        got = extracted(spark, [f"<html><body>{a}<h1>T {k}</h1><p>Text of page {k}.</p>{box if k < 5 else ''}{b}</body></html>" for k in range(20)])
+        assert ["shared item" in x for x in got] == [k < 5 for k in range(20)]
+    copies = ["<html><body><h1>Same</h1><dl><dt>copied term</dt></dl></body></html>"] * 6
+    got = extracted(spark, copies + [f"<html><body><h1>T {k}</h1><p>Text {k}.</p></body></html>" for k in range(5)])
+    assert all("copied term" in x for x in got[:6])
+
+
 def test_empty_tables_and_clashing_names(spark, docs):
     clash = docs.withColumns({c: F.lit("mine") for c in ("n_words", "kept", "items", "n_hit", "n_tokens", "simhash_", "lang_pred", "score", "log_score")})
     bench = spark.createDataFrame([(1, TEXTS[0]), (2, None)], "item_id long, text string")
