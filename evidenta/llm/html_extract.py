@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,10 +53,10 @@ LEAST_PAGES = 4
 LEAST_SHARE = 0.5
 #: Elements of a marked content element that stay, however many pages share them, unless they are boilerplate by name.
 KEPT = HEADINGS | frozenset("p li blockquote pre article main section div ul ol dl dt dd figure figcaption table caption thead tbody tfoot tr th td".split())
-#: Elements nested deeper are read as text of the element at this depth.
+#: Elements nested deeper are read as blocks of the element at this depth; they open and close like any other.
 DEEPEST = 120
-#: A node with more runs of children is folded by their names alone, so that alignment stays cheap.
-MOST_RUNS = 40
+#: Pairs of unlike siblings that are weighed against each other; beyond it their names alone are aligned.
+MOST_PAIRS = 1600
 #: Templates up to so many bytes in all are sent to the workers; larger ones are joined by host.
 BROADCAST_BYTES = 32 << 20
 #: Hosts whose partial templates a task holds before it hands them on.
@@ -84,12 +85,20 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page's block elements; inline elements become text of the block they stand in."""
     root = Node("html")
-    stack, at, end = [root], 0, len(page)
+    # names of the open elements, and for each the node that takes its text
+    names, stack, at, end = ["html"], [root], 0, len(page)
+    sinks: set[int] = set()
 
     def add(text: str) -> None:
         if text:
             stack[-1].parts.append(html.unescape(text) if "&" in text else text)
 
+    def close(k: int) -> None:
+        inner = stack[-1]
+        del names[k:], stack[k:]
+        if k >= DEEPEST and inner is stack[-1] and id(inner) not in sinks:
+            inner.parts.append(Node("div"))  # a block ends here
+
     while m := TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -100,39 +109,47 @@ def parse(page: str) -> Node:
             continue
         if m[1]:
             if name in BLOCK or name in DROPPED:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        del stack[k:]
+                for k in range(len(names) - 1, 0, -1):
+                    if names[k] == name:
+                        close(k)
                         break
             continue
         if name == "html":
             continue
         if name in ENDS_PARAGRAPH:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
+            for k in range(len(names) - 1, 0, -1):
+                if names[k] == "p":
+                    close(k)
                     break
-                if stack[k].tag in ("td", "th", "li", "table", "div", "section", "article"):
+                if names[k] in ("td", "th", "li", "table", "div", "section", "article"):
                     break
         if name in CLOSES:
-            names, fences = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in fences:
+            ended, fences = CLOSES[name]
+            for k in range(len(names) - 1, 0, -1):
+                if names[k] in fences:
                     break
-                if stack[k].tag in names:
-                    del stack[k:]
+                if names[k] in ended:
+                    close(k)
         if name in RAW:  # no markup inside
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-            at = close.start() if close else end
+            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            at = shut.start() if shut else end
             continue
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             stack[-1].parts.append(" " if name in ("br", "hr", "wbr") else "")
             continue
         if name in BLOCK or name in DROPPED or m[3] and ("hidden" in m[3] or "display" in m[3]):
             node = Node(name, m[3])
-            stack[-1].parts.append(node)
-            if len(stack) < DEEPEST:
-                stack.append(node)
+            if len(names) >= DEEPEST and id(stack[-1]) in sinks:
+                node = stack[-1]
+            else:
+                stack[-1].parts.append(node)
+                if len(names) >= DEEPEST:
+                    if boilerplate(node, False):
+                        sinks.add(id(node))
+                    else:
+                        node = stack[-1]
+            names.append(name)
+            stack.append(node)
     rest = page[at:]
     add(rest if "<" not in rest else rest[: rest.rfind("<")] if re.match(r"<[a-zA-Z/!]", rest[rest.rfind("<") :]) else rest)
     return root
@@ -166,27 +183,77 @@ def own_text(node: Node) -> str:
     return " ".join(" ".join(x for x in node.parts if type(x) is str).split())
 
 
-def template(node: Node) -> list:
-    """The template of one page."""
+def template(node: Node, made: dict[int, list] | None = None) -> list:
+    """The template of one page; `made` takes that of each node by its id."""
     children: list[list] = []
     for child in node.children():
-        made = template(child)
-        if children and children[-1][0] == made[0]:  # a run of like siblings is one node, constant only as a whole
-            children[-1] = fold(children[-1], made, run=True)
+        own = template(child, made)
+        if children and children[-1][0] == own[0]:  # a run of like siblings is one node, constant only as a whole
+            children[-1] = fold(children[-1], own, run=True)
         else:
-            children.append(made)
+            children.append(own)
     text = own_text(node)
-    return [node.key, 1, digest(text) if text else -1, False, narrowed(children)]
+    out = [node.key, 1, digest(text) if text else -1, False, children]
+    if made is not None:
+        made[id(node)] = out
+    return out
+
+
+def signature(t: list) -> int | None:
+    """A hash of a constant node with its subtree; None if it varies or has no text."""
+    parts, said = [t[0], str(t[2])], t[2] > 0
+    if not t[2]:
+        return None
+    for c in t[4]:
+        own = signature(c)
+        if own is None:
+            if varies(c):
+                return None
+            own = c[0]
+        else:
+            said = True
+        parts.append(str(own))
+    return digest("\n".join(parts)) if said else None
 
 
-def narrowed(children: list[list]) -> list[list]:
-    """Siblings folded by their names if there are too many runs."""
-    if len(children) <= MOST_RUNS:
-        return children
-    by: dict[str, list] = {}
-    for c in children:
-        by[c[0]] = fold(by[c[0]], c, run=True) if c[0] in by else c
-    return [*by.values()]
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, in which None equals nothing.
+
+    Rows are bit vectors of `a`; only every so many are held, and those between are worked out again on the way back.
+    """
+    at: dict = {}
+    for i, x in enumerate(a):
+        if x is not None:
+            at.setdefault(x, []).append(i)
+    if not any(x in at for x in b):
+        return []
+    masks = {x: sum(1 << i for i in at[x]) for x in {*b} & at.keys()}
+    full, step = (1 << len(a)) - 1, isqrt(len(b)) + 1
+
+    def after(row: int, x) -> int:
+        m = row & masks.get(x, 0)
+        return (row + m | row - m) & full
+
+    held, row = [full], full
+    for j, x in enumerate(b, 1):
+        row = after(row, x)
+        if j % step == 0:
+            held.append(row)
+    pairs, i, j, first, rows = [], len(a), len(b), len(b) + 1, []
+    while i and j:
+        if j - 1 < first:
+            first = (j - 1) // step * step
+            rows = [held[first // step]]
+            for x in b[first:j]:
+                rows.append(after(rows[-1], x))
+        if rows[j - first] >> i - 1 & 1:
+            i -= 1
+        elif rows[j - 1 - first] >> i - 1 & 1:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        else:
+            j -= 1
+    return pairs[::-1]
 
 
 def weight(a: list, b: list) -> int:
@@ -197,9 +264,31 @@ def weight(a: list, b: list) -> int:
 
 
 def align(xs: list, ys: list) -> tuple[int, list[tuple[int, int]]]:
-    """Best alignment of two sequences of trees that keeps their order: its weight and its pairs."""
+    """Alignment of two sequences of trees that keeps their order: its weight and its pairs.
+
+    Equal trees are aligned first, by a longest common subsequence; what lies between two of them is aligned for itself.
+    """
     if [x[0] for x in xs] == [y[0] for y in ys] and len({x[0] for x in xs}) == len(xs):
         return sum(weight(x, y) for x, y in zip(xs, ys, strict=True)), [(k, k) for k in range(len(xs))]
+    total, pairs, i, j = 0, [], 0, 0
+    for x, y in [*common([*map(signature, xs)], [*map(signature, ys)]), (len(xs), len(ys))]:
+        more, found = between(xs[i:x], ys[j:y])
+        total += more
+        pairs += [(i + a, j + b) for a, b in found]
+        if x < len(xs):
+            total += weight(xs[x], ys[y])
+            pairs.append((x, y))
+        i, j = x + 1, y + 1
+    return total, pairs
+
+
+def between(xs: list, ys: list) -> tuple[int, list[tuple[int, int]]]:
+    """Best alignment by weight; of many siblings, one with the most pairs of like names."""
+    if not xs or not ys:
+        return 0, []
+    if len(xs) * len(ys) > MOST_PAIRS:
+        found = common([x[0] for x in xs], [y[0] for y in ys])
+        return sum(weight(xs[i], ys[j]) for i, j in found), found
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     own = {}
     for i, x in enumerate(xs):
@@ -230,35 +319,35 @@ def fold(a: list, b: list, run: bool = False) -> list:
         if x < len(a[4]):
             out.append(fold(a[4][x], b[4][y], run))
         i, j = x + 1, y + 1
-    return [a[0], max(a[1], b[1]) if run else a[1] + b[1], text, run or a[3] or b[3], narrowed(out)]
+    return [a[0], max(a[1], b[1]) if run else a[1] + b[1], text, run or a[3] or b[3], out]
 
 
 def varies(t: list) -> bool:
     return t[2] == 0 or any(map(varies, t[4]))
 
 
-def constant_nodes(node: Node, t: list | None, least: float, out: set[int]) -> None:
-    """Ids of the nodes of a page that are template: node and subtree have the same text on all of `least` or more pages."""
-    if t is None:
-        return
+def constant_nodes(node: Node, own: list, t: list, least: float, made: dict[int, list], out: set[int]) -> None:
+    """Ids of the nodes of a page that are template: node and subtree have the same text on all of `least` or more pages.
+
+    `own` is the page's template of the node, or of the run that it stands in.
+    """
     groups: list[list[Node]] = []
     for child in node.children():
         if groups and groups[-1][0].key == child.key:
             groups[-1].append(child)
         else:
             groups.append([child])
-    if len(groups) > MOST_RUNS:
-        by: dict[str, list[Node]] = {}
-        for g in groups:
-            by.setdefault(g[0].key, []).extend(g)
-        groups = [*by.values()]
-    for i, j in align([[g[0].key, 1, 0, False, []] for g in groups], [[c[0], 1, 0, False, []] for c in t[4]])[1]:
-        c = t[4][j]
-        if c[1] >= least and not varies(c):
+    mine = made[id(node)][4]
+    places = dict(align(own[4], t[4])[1])
+    for i, k in [(k, k) for k in range(len(mine))] if own is made[id(node)] else align(mine, own[4])[1]:
+        if k not in places:
+            continue
+        o, c = own[4][k], t[4][places[k]]
+        if c[1] >= least and not varies(c) and signature(o) == signature(c):
             out.update(map(id, groups[i]))
         else:
             for child in groups[i]:
-                constant_nodes(child, c, least, out)
+                constant_nodes(child, o, c, least, made, out)
 
 
 # --- text
@@ -325,7 +414,8 @@ def extract(page: str | None, wrapper: list | None) -> str:
     element, marked = chosen(root)
     constant: set[int] = set()
     if wrapper is not None and wrapper[1] >= LEAST_PAGES and varies(wrapper):
-        constant_nodes(root, wrapper, max(LEAST_PAGES, LEAST_SHARE * wrapper[1]), constant)
+        made: dict[int, list] = {}
+        constant_nodes(root, template(root, made), wrapper, max(LEAST_PAGES, LEAST_SHARE * wrapper[1]), made, constant)
         if marked:
             keep = [element]
             while keep:

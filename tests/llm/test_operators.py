@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 import math
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -179,6 +180,40 @@ def test_html_boxes_of_few_pages_stay(spark):
     assert all("copied term" in x for x in got[:6])
 
 
+def test_html_constant_box_on_long_pages(spark):
+    def page(k):
+        parts = [f"<h2>Head {k} {i}</h2><p>Text {k} {i}.</p>" for i in range(30 + k)]
+        parts.insert(7 + k, "<div><b>unnamed</b> notice</div>")
+        parts.insert(3, f"<div>Remark {k}</div>")
+        return "<html><body>" + "".join(parts) + "</body></html>"
+
+    got = extracted(spark, [page(k) for k in range(8)])
+    assert not any("notice" in x for x in got)
+    assert [x.count("\n\n") for x in got] == [2 * (30 + k) for k in range(8)]
+
+
+def test_html_deep_elements_close_themselves():
+    n = 130
+    deep = "<div>" * n + "in<nav>menu <div>more menu</div></nav>side" + "</div>" * n
+    page = f"<html><body><article><p>start</p>{deep}<p>end</p></article><div>outside</div></body></html>"
+    assert html_extract.extract(page, None) == "start\n\nin\n\nside\n\nend"
+    boxed = f"<html><body><div class='ad'>{'<div>' * n}x{'</div>' * (n - 1)}<p>still the box</p></div></div><p>main text</p></body></html>"
+    assert html_extract.extract(boxed, None) == "main text"
+
+
+def test_html_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice([*"abcd", None]) for _ in range(rng.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x is not None and x == y else max(best[i][j + 1], best[i + 1][j])
+        found = html_extract.common(a, b)
+        assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
 def test_empty_tables_and_clashing_names(spark, docs):
     clash = docs.withColumns({c: F.lit("mine") for c in ("n_words", "kept", "items", "n_hit", "n_tokens", "simhash_", "lang_pred", "score", "log_score")})
     bench = spark.createDataFrame([(1, TEXTS[0]), (2, None)], "item_id long, text string")
