@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evidenta.functions.vectors import dot
 
+#: Vectors of a block.
+BLOCK = 256
+
 
 def top_k(vectors: DataFrame, probes: DataFrame, group: str, key: str, vector: str, probe: str, k: int) -> DataFrame:
     """(probe, group, key, score, rank): the k best vectors of each group for that group's probes.
@@ -18,6 +21,23 @@ def top_k(vectors: DataFrame, probes: DataFrame, group: str, key: str, vector: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_k_blocks(vectors: DataFrame, probes: DataFrame, key: str, vector: str, probe: str, k: int, group: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(probe, [group,] key, score, rank): the k best vectors for every probe, all of them or those of its group.
+
+    `probes` has `probe`, `probe`_vector and the group. Vectors meet the probes in blocks, of which each gives its k best for
+    a probe, so that k rows of a block are shuffled; ties go to the smaller key.
+    """
+    by = [group] if group else []
+    numbered = vectors.select(*by, F.struct(key, vector).alias("v"), F.floor(F.monotonically_increasing_id() / block).alias("__block"))
+    blocks = numbered.groupBy(*by, "__block").agg(F.collect_list("v").alias("vs"))
+    pairs = blocks.join(probes, group) if group else blocks.crossJoin(probes)
+    scored = F.transform("vs", lambda v: F.round(dot(v[vector], F.col(f"{probe}_vector")), 5))
+    items = F.zip_with("vs", scored, lambda v, s: F.struct((-s).alias("below"), v[key].alias(key), s.alias("score")))
+    best = pairs.select(probe, *by, F.explode(F.slice(F.array_sort(items), 1, k)).alias("b")).select(probe, *by, f"b.{key}", "b.score")
+    w = Window.partitionBy(probe, *by).orderBy(F.desc("score"), key)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def mean_pool(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, pos, mean): element-wise means (A4)."""
     return vectors.select(group, F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))

@@ -238,6 +238,25 @@ def vector_topk_global(s, d):
     return e.crossJoin(probe).select("vec_id", F.round(dot(F.col("embedding"), F.col("pv")), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+_EVERY_50TH = "WITH q AS (SELECT vec_id AS probe, label, embedding AS pv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT probe, {group}vec_id, round(list_dot_product(e.embedding::DOUBLE[], pv::DOUBLE[]), 5) AS score FROM q JOIN embeddings e ON {on}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {k}"
+
+
+def _every_50th(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("probe_vector"), "label")
+
+
+@query(_EVERY_50TH.format(group="e.label, ", on="e.label = q.label", k=5))
+def vector_topk_every_50th_within_group(s, d):
+    e = t(s, d, "embeddings")
+    return retrieval.top_k_blocks(e, _every_50th(e), "vec_id", "embedding", "probe", 5, "label")
+
+
+@query(_EVERY_50TH.format(group="", on="true", k=10))
+def vector_topk_every_50th(s, d):
+    e = t(s, d, "embeddings")
+    return retrieval.top_k_blocks(e, _every_50th(e).drop("label"), "vec_id", "embedding", "probe", 10)
+
+
 @query("SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INT AS pos FROM embeddings) GROUP BY ALL")
 def mean_pool(s, d):
     return retrieval.mean_pool(t(s, d, "embeddings"), "label", "embedding")

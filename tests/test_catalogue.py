@@ -39,6 +39,16 @@ def test_gate_decisions(spark):
     assert got == {"a": ("RETURNED", None, "exact"), "b": ("ABSTAINED", "blank_value", None), "c": ("ABSTAINED", "no_number", None), "d": ("ABSTAINED", "not_grounded", None), "e": ("RETURNED", None, "numbers")}
 
 
+def test_vector_search_takes_every_50th_row(spark):
+    e = spark.read.parquet(f"{DIR}/embeddings.parquet")
+    probes = {r["vec_id"] for r in e.where("vec_id % 50 = 0").collect()}
+    assert len(probes) > 1
+    for name, k in (("vector_topk_every_50th", 10), ("vector_topk_every_50th_within_group", 5)):
+        rows = catalogue.QUERIES[name](spark, DIR).collect()
+        assert {r["probe"] for r in rows} == probes and len(rows) == k * len(probes)
+        assert all(r["vec_id"] == r["probe"] for r in rows if r["rank"] == 1)
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
