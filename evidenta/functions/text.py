@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("about", "also", "been", "from", "have", "into", "more", "that", "their", "there", "these", "they", "this", "using", "were", "which", "with")
 #: Numeric anchor: a decimal number, or an integer of two digits or more.
 ANCHOR = r"\b\d+\.\d+\b|\b\d{2,}\b"
+#: A line that holds only the heading of the back matter.
+BACK_MATTER = r"(?iU)\n\s*(?:references|acknowledge?ments|bibliography)\s*\n"
+#: A JSON object in a Markdown code fence.
+FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 
 
 def text_of(c: Column) -> Column:
@@ -26,8 +30,17 @@ def collapse(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Blank runs collapsed: three or more line ends to two, two or more blanks to one, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text_of(c), r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
+    """Cut at the first back-matter heading; three or more line ends to two, two or more blanks to one, trimmed."""
+    body = F.split(text_of(c), BACK_MATTER, 2)[0]
+    return F.trim(F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
+
+
+def json_object(c: Column) -> Column:
+    """The JSON object in a text: all of it, else in a code fence, else from the first to the last brace (K4); null if none."""
+    whole = F.trim(c)
+    found = (whole, F.regexp_extract(whole, FENCED, 1), F.regexp_extract(whole, r"(?s)\{.*\}", 0))
+    is_object = lambda x: F.json_object_keys(x).isNotNull()
+    return F.coalesce(*(F.when(is_object(x) & F.try_parse_json(x).isNotNull(), x) for x in found))
 
 
 def sentences(c: Column) -> Column:

@@ -218,7 +218,7 @@ def deterministic_sample(s, d):
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def json_tolerant_parse(s, d):
-    return t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return t(s, d, "events").select("event_id", F.get_json_object(X.json_object(F.col("props")), "$.k").cast("long").alias("k"))
 
 
 # vectors

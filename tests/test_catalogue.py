@@ -49,6 +49,21 @@ def test_vector_search_takes_every_50th_row(spark):
         assert all(r["vec_id"] == r["probe"] for r in rows if r["rank"] == 1)
 
 
+def test_clean_text_cuts_back_matter(spark):
+    from evidenta.functions import text as X
+
+    cases = {"Body\nReferences\n[1] x": "Body", "a\n  ACKNOWLEDGMENTS \nb": "a", "a\nAcknowledgements\nb\nBibliography\nc": "a", "see References\nb": "see References\nb", "a\n\n\n\nb": "a\n\nb", "no heading": "no heading", "": ""}
+    df = spark.createDataFrame([(x,) for x in cases], "text string")
+    assert {r["text"]: r["v"] for r in df.select("text", X.clean(df.text).alias("v")).collect()} == cases
+
+
+def test_json_in_fences_and_braces(spark, tmp_path):
+    cases = {'{"k": 1}': 1, ' {"k": 1}\n': 1, 'So:\n```json\n{"k": 2}\n```\nend': 2, '```\n{"k": 5}\n``` or {': 5, 'It is {"k": 3} indeed': 3, '{"k": 4} trailing': 4, "[1]": None, "none": None, "{k": None, "": None, None: None}
+    spark.createDataFrame([(n, x) for n, x in enumerate(cases)], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["k"] for r in catalogue.json_tolerant_parse(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
