@@ -50,7 +50,8 @@ def postings(docs: DataFrame, row: str, tokens: str) -> DataFrame:
 def phrase_matches(docs: DataFrame, phrases: DataFrame, row: str, tokens: str, slop: int = 0) -> DataFrame:
     """(row, tokens, start, window, items) where a window of `phrases` occurs.
 
-    slop > 0 asks for proximity: every word of the window occurs within `slop` places of where the phrase has it.
+    slop > 0 asks for proximity: every word of the window, the rarest too, occurs within `slop` places of where the phrase
+    has it. A start may then lie before the text, and a window end behind it.
     """
     vocabulary = materialise(phrases.select(F.explode("window").alias("term")).distinct())
     counts = materialise(postings(docs, row, tokens).select("term").join(small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
@@ -60,8 +61,11 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, row: str, tokens: str, s
     opened = postings(docs, row, tokens).join(small(plan), F.col("term") == F.col("rarest"))
     start = F.col("pos") - F.col("offset")
     if slop:
-        near = lambda x: F.array_contains(F.slice(tokens, F.greatest(start + x["offset"] - slop, F.lit(0)) + 1, 2 * slop + 1), x["term"])
-        return opened.where(F.forall("others", near)).select(row, tokens, start.alias("start"), "window", "items")
+        moved = opened.withColumn("start", F.explode(F.sequence(start - slop, start + slop))).dropDuplicates([row, "start", "window"])
+        first = lambda x: F.greatest(F.col("start") + x["offset"] - slop, F.lit(0))
+        last = lambda x: F.greatest(F.col("start") + x["offset"] + slop, F.lit(-1))
+        near = lambda x: F.array_contains(F.slice(tokens, first(x) + 1, F.greatest(last(x) - first(x) + 1, F.lit(0))), x["term"])
+        return moved.where(F.forall("others", near)).select(row, tokens, "start", "window", "items")
     # the second list first: most starts end here
     at = lambda k: F.get(F.col(tokens), F.col("pos") - F.col("offset") + k)
     second = F.get("others", F.lit(0))
@@ -70,17 +74,23 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, row: str, tokens: str, s
     return opened.where((start >= 0) & cut & rest).select(row, tokens, start.alias("start"), "window", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, least_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, least_items: int = 2, slop: int = 0) -> DataFrame:
     """Add n_words, n_hit (words inside any occurrence of a window), items (the ids found, sorted strings) and contaminated.
 
     One row for each row of `docs`, repeated rows included; a null or empty text has no words and no items. Items without
     words have no windows; a null item id counts as the string "null". An empty benchmark marks nothing. Other columns pass
-    through; an input column with the name of a result is replaced. The text itself is left out of the shuffle.
+    through; an input column with the name of a result is replaced. The text itself is left out of the shuffle. With `slop`
+    windows are found by proximity (see phrase_matches), and what of a window lies in the text is inside it.
     """
     source = docs.withColumns({"__row": F.monotonically_increasing_id(), "__w": words(F.col(text))})
     phrases = materialise(windows(benchmark.withColumn("__item", F.coalesce(F.col(item).cast("string"), F.lit("null"))), "__item", item_text, size))
     slim = source.select("__row", "__w")
-    hits = phrase_matches(slim, phrases, "__row", "__w").select("__row", "start", F.size("window").alias("length"), "items")
+    hits = phrase_matches(slim, phrases, "__row", "__w", slop)
+    if slop:
+        begin = F.greatest("start", F.lit(0))
+        hits = hits.select("__row", begin.alias("start"), (F.least(F.col("start") + F.size("window"), F.size("__w")) - begin).alias("length"), "items")
+    else:
+        hits = hits.select("__row", "start", F.size("window").alias("length"), "items")
     # a start counts once for each length; partial sums are made before the shuffle
     spans = hits.groupBy("__row", "start").agg(F.max("length").alias("length"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     per_row = spans.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -232,6 +232,26 @@ def test_decontamination_hits(spark, docs):
     assert (r["n_hit"], r["items"], r["contaminated"]) == (10, ["1", "2"], True)
 
 
+@pytest.mark.parametrize("slop", [1, 2])
+def test_decontamination_proximity_by_brute_force(spark, slop):
+    rng = random.Random(slop)
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randrange(14))] for _ in range(60)]
+    items = [[rng.choice("abcdefg") for _ in range(4)] for _ in range(6)]
+    want = []
+    for ws in texts:
+        inside, found = set(), set()
+        for k, p in enumerate(items):
+            for start in range(-len(p) - slop, len(ws) + slop + 1):
+                if all(w in ws[max(start + i - slop, 0) : max(start + i + slop + 1, 0)] for i, w in enumerate(p)):
+                    inside |= {*range(start, start + len(p))} & {*range(len(ws))}
+                    found.add(str(k))
+        want.append((len(inside), sorted(found)))
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench, size=4, slop=slop).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["items"]) for r in got] == want and any(x[0] for x in want)
+
+
 def test_pipeline_keeps_what_each_stage_keeps(spark):
     import corpus_pipeline
 
