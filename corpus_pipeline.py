@@ -35,9 +35,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest doc_id stays (of equal ones the first)."""
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text")
-    found = simhash.near_duplicates(rows)
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("simhash")).alias("alone")]
-    first = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    found = simhash.near_duplicates(rows, component="__component")
+    first = found.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(first, "__row", "left_semi").select(*docs.columns)
 
 

@@ -101,16 +101,18 @@ def links(prints: DataFrame, fp: str = "fp", node: str = "node") -> DataFrame:
     return pairs.unionByName(ends).unionByName(rest)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", component: str | None = None) -> DataFrame:
     """Add simhash (long) and component_id: the smallest `key` (a long) that is reachable over links of two or fewer bits.
 
-    Null and empty texts have fingerprint zero and are linked like any other; a row whose key is null is in the component of
-    its fingerprint, and of null if no row there has a key. Repeated rows are rows of one component. An empty table gives an
+    Null and empty texts have fingerprint zero and are linked like any other, as are rows whose key is null; a component without
+    any key is named null, so `component` may name a further column, the component's least fingerprint. Repeated rows are rows of one component. An empty table gives an
     empty result; other columns pass through.
     """
     prints = materialise(fingerprints(df, text, "simhash").drop(text)) if text != key else materialise(fingerprints(df, text, "simhash"))
     nodes = prints.groupBy("simhash").agg(F.min(key).alias("node"))
-    known = nodes.where(F.col("node").isNotNull()).select(F.col("simhash").alias("fp"), "node")
-    found = components(links(known))
-    mapped = nodes.join(found, "node", "left").select(F.col("simhash").alias("__fp"), F.coalesce("component", "node").alias("component_id"))
+    # a fingerprint is its own node, so that those without a key take part
+    found = components(links(nodes.select(F.col("simhash").alias("fp"), F.col("simhash").alias("node"))))
+    joined = nodes.join(found.select(F.col("node").alias("simhash"), "component"), "simhash", "left").withColumn("component", F.coalesce("component", "simhash"))
+    named = joined.groupBy("component").agg(F.min("node").alias("component_id"))
+    mapped = joined.join(named, "component").select(F.col("simhash").alias("__fp"), "component_id", *([F.col("component").alias(component)] if component else []))
     return prints.join(mapped, prints["simhash"] == mapped["__fp"], "left").drop("__fp")

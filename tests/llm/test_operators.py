@@ -92,6 +92,18 @@ def test_simhash_large_group_links_like_pairs(spark):
     assert {r["component"] for r in found} == {0} and len(found) == len(prints) - 1  # the smallest node has no row
 
 
+def test_simhash_rows_without_a_key_link(spark, monkeypatch):
+    prints = {"a": 0b1, "b": 0b111, "c": 0b11111, "far": -1, "near": -4}  # a and c are linked by b alone
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, text, name: df.withColumn(name, F.element_at(F.create_map(*(F.lit(x) for p in prints.items() for x in p)), F.col(text)).cast("long")))
+    rows = spark.createDataFrame([(7, "a"), (None, "b"), (9, "c"), (None, "far"), (None, "near")], "doc_id long, text string").withColumn("t", F.col("text"))
+    got = {r["t"]: r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+    assert got == {"a": 7, "b": 7, "c": 7, "far": None, "near": None}
+    import corpus_pipeline
+
+    kept = [r["text"] for r in corpus_pipeline.dedup_stage(spark, rows.drop("t"), DIR).collect()]
+    assert len(kept) == 2 and "a" in kept and {*kept} & {"far", "near"}
+
+
 def test_language_held_out_accuracy(spark):
     df = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
     rows = df.where("held_out and lang is not null").collect()
