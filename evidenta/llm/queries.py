@@ -59,6 +59,11 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(docs).select("doc_id", "n_words", "n_backoffs", "log_score")
 
 
+def op8_lm_scores_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.lm_scores(docs, order=3).select("doc_id", "n_words", "n_backoffs", "log_score")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
@@ -70,4 +75,4 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_token_counts, op4_sharding, op5_language_id, op6_warc, op7_quality_rules, op8_lm_scores, op9_benchmark_decontamination, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_token_counts, op4_sharding, op5_language_id, op6_warc, op7_quality_rules, op8_lm_scores, op8_lm_scores_trigrams, op9_benchmark_decontamination, op10_bpe_round_trip)}

@@ -168,6 +168,27 @@ def test_lm_scores_by_brute_force(docs):
         assert r["log_score"] == pytest.approx(want[r["doc_id"]], abs=1e-2)
 
 
+def test_lm_scores_of_order_3_by_brute_force(spark):
+    split = [x.split() for x in ("a b c a b c", "a b c d", "x y z", "b c a b d", "", "a", "q a b c x y")]
+    of = [Counter(tuple(ws[i : i + n]) for ws in split for i in range(len(ws) - n + 1)) for n in (1, 2, 3)]
+
+    def score(gram):
+        n = len(gram)
+        if n == 1:
+            return math.log(of[0][gram] / of[0].total()), 0
+        if of[n - 1][gram] >= 2:
+            return math.log(of[n - 1][gram] / of[n - 2][gram[:-1]]), 0
+        below, steps = score(gram[1:])
+        return below + math.log(0.4), steps + 1
+
+    want = [[score(tuple(ws[max(i - 2, 0) : i + 1])) for i in range(len(ws))] for ws in split]
+    assert any(steps > 1 for w in want for _, steps in w)
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(split)], "doc_id long, text string")
+    for r, w in zip(lm_score.lm_scores(docs, order=3).orderBy("doc_id").collect(), want, strict=True):
+        assert r["n_backoffs"] == sum(steps for _, steps in w)
+        assert r["log_score"] == pytest.approx(sum(x for x, _ in w), abs=1e-3)
+
+
 def test_html_extraction(spark):
     article = "<article><h1>Title</h1><p>First &amp; long   paragraph of the page, number {}.</p><p>Second text {} here.</p></article>"
     page = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Home</a></nav>" + article + "<div class='comments'><p>reader says</p></div><footer>(c)</footer><script>x()</script></body></html>"
