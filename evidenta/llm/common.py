@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A single space between two characters that aren't white space. Byte-level pre-tokenizers always begin a pre-token there: a
 #: run of letters, digits or symbols ends before a space, and a lone space joins what follows it.
@@ -29,10 +30,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it; one of our own only if all run in one process."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evidenta-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -50,6 +53,44 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder, in folders by the columns `by`; its shuffles are given up."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(flag, None)
+    spark.conf.set(flag, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(flag) if before is None else spark.conf.set(flag, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Plan nodes that give the same rows in the same partitions each time they are read.
+IN_PLACE = frozenset(("Project", "Filter", "LogicalRelation", "SubqueryAlias"))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with a unique number for each row, and the name of that column, which no other column has.
+
+    A scan with projections and filters is numbered in place, since its files fix partitions and order; rows of any other plan
+    are written to the shared folder with their numbers, so that each branch that reads them sees the same ones.
+    """
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    plan, nodes = df._jdf.queryExecution().optimizedPlan(), []
+    todo = [plan]
+    while todo:
+        x = todo.pop()
+        nodes.append(x.nodeName() if plan.deterministic() else "")
+        inner = x.children()
+        todo += [inner.apply(k) for k in range(inner.size())]
+    return (out if all(n.split(" ")[0] in IN_PLACE for n in nodes) else materialise(out)), name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch path through Hadoop's file system, whatever its scheme."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,59 +1,192 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Counts of all n-grams of the corpus are tables keyed by 64-bit hashes and partitioned by them. The logarithm of every distinct
-n-gram's score is worked out once, on the count tables; each document's n-grams, counted within the document, are
-joined to that table and summed per document. An n-gram seen fewer than `least` times backs off to the one shorter by its first
-word, times ALPHA. Scores are whole micro-nats, so that sums don't depend on the order of rows.
+Counts of all n-grams of the corpus, of every length up to the order, are tables keyed by 64-bit hashes and partitioned by
+them. Every document's n-grams are exploded, joined to those tables and summed per document. An n-gram seen fewer than `least`
+times backs off to the one shorter by its first word, times ALPHA. Scores are whole micro-nats, so that sums don't depend on
+the order of rows.
 
-Frequent n-grams are kept out of the shuffled join: fewer than HEAVY n-grams can hold more than 1 / HEAVY of all occurrences, so
-these, and only these, are broadcast.
+Texts are read twice. The first reading counts, within slices, tasks and at last the hash partitions. The second one needs the
+count of each occurrence: fewer than HEAVY n-grams can hold more than 1 / HEAVY of all words, so these, and only these, are
+broadcast with their counts, and no key that is left for the joins is hot. A bitmap of BITS bits, whatever the corpus,
+lets most n-grams through that aren't repeated: they need no join. Of the others, one row for an occurrence meets the tables by
+its hash; the joins decide, so the bitmap's false positives change nothing but the number of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidenta.llm.common import materialise
+from evidenta.llm.common import numbered, slices, store
 
 ALPHA = 0.4
 ORDER = 2
 LEAST = 2
-HEAVY = 4096
 MICRO = 1_000_000
+#: Fewer n-grams than this are broadcast (16 bytes each).
+HEAVY = 1 << 22
+#: Bits of the bitmap of repeated n-grams of one length.
+BITS = 1 << 26
+#: Words that are handled at once.
+STEP = 1 << 20
+SEED = 42
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+
+
+def lowered(text: Column) -> Column:
+    """A text lower-cased by Unicode's rules; empty for null."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of the n-grams without the last word, and of that word."""
+    with np.errstate(over="ignore"):
+        x = context * _MIX[2] + word
+        x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+        return x ^ (x >> np.uint64(31))
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between white space: hashes of the distinct ones, the number of each occurrence's, and words by text."""
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten()
+    there = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(there)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    coded = pc.dictionary_encode(flat.filter(pa.array(there)))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return hashes, coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+
+
+def grams(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray]]]:
+    """Blocks of occurrences: their place, their position in the text, and for each length the hash of the n-gram that ends there.
+
+    A hash is void where the position is less than the length minus one. Each block begins with the `order` - 1 words before its
+    place, which are only context.
+    """
+    start = np.cumsum(sizes) - sizes
+    position = np.arange(len(codes)) - np.repeat(start, sizes)
+    for a in range(0, len(codes), STEP):
+        first = max(0, a - order + 1)
+        place = slice(a, min(a + STEP, len(codes)))
+        word = hashes[codes[first : place.stop]]
+        found = [word]
+        for _ in range(1, order):
+            found.append(longer(np.concatenate([[np.uint64(0)], found[-1][:-1]]), word))
+        yield place, position[first : place.stop], [g for g in found]
+
+
+def counted(df: DataFrame, text: str, order: int) -> DataFrame:
+    """(level, gram, n): occurrences of all n-grams of 1 .. order words, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                for place, position, found in grams(*tokens(part.column(text)), order):
+                    own = len(position) - (place.stop - place.start)
+                    for level, g in enumerate(found, 1):
+                        keys, n = np.unique(g[own:][position[own:] >= level - 1], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["level", "gram", "n"])
+
+    return df.select(lowered(F.col(text)).alias(text)).mapInArrow(run, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n"))
+
 
+class Known:
+    """What a task knows of the counts of one length: the frequent n-grams', and which others may be repeated."""
 
-def words(text: Column) -> Column:
-    """Words between white space, lower-cased by Unicode's rules; none for null."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    def __init__(self, table: DataFrame, total: int):
+        heavy = table.where(F.col("n") * HEAVY > total).select("gram", "n").toArrow()  # fewer than HEAVY rows
+        order = np.argsort(heavy.column("gram").to_numpy())
+        self.gram, self.n = heavy.column("gram").to_numpy()[order], heavy.column("n").to_numpy()[order]
+        at = F.col("gram").bitwiseAND(F.lit(BITS - 1))
+        rows = table.where("n > 1").groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # BITS / 8 bytes
+        self.bits = np.zeros((BITS >> 15, 4096), np.uint8)
+        for r in rows:
+            self.bits[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+        self.bits = self.bits.reshape(-1)
 
+    def counts(self, g: np.ndarray, absent: int) -> np.ndarray:
+        """Counts of n-grams: `absent` if surely not repeated, -1 if unknown."""
+        at = (g & np.uint64(BITS - 1)).astype(np.int64)
+        out = np.where(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1, -1, absent)
+        maybe = np.flatnonzero(out < 0)
+        if len(self.gram):
+            keys = g[maybe].view(np.int64)
+            k = np.minimum(np.searchsorted(self.gram, keys), len(self.gram) - 1)
+            out[maybe] = np.where(self.gram[k] == keys, self.n[k], -1)
+        return out
 
-def grams(df: DataFrame, n: int, row: str, w: str) -> DataFrame:
-    """(row, gram, context, shorter): hashes of the n-grams of each row and of their parts."""
-    at = lambda i, a, b: F.xxhash64(*(F.get(F.col(w), i + k) for k in range(a, b)))
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-    part = F.transform(starts, lambda i: F.struct(at(i, 0, n).alias("gram"), at(i, 0, n - 1).alias("context"), at(i, 1, n).alias("shorter")) if n > 1 else F.struct(at(i, 0, 1).alias("gram")))
-    return df.select(row, F.explode(part).alias("g")).select(row, "g.*")
 
+def slots(order: int) -> list[tuple[int, int]]:
+    """(length, words back) of the n-grams whose counts a score may need: from the full length down, each with its context."""
+    return [x for n in range(order, 1, -1) for x in ((n, 0), (n - 1, 1))] + [(1, 0)]
+
+
+def looked_up(df: DataFrame, text: str, order: int, known: list[Known], total: int) -> DataFrame:
+    """A row for each text (n_words not null) with the sums of the scores that are known, and one for each other occurrence.
+
+    Of the latter, v<k> is the count in a slot: null if it isn't needed, -1 if it is to be found by the hash h<k>.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    places = slots(order)
+    names = ["row", "n_words", "micro", "backed", *(f"{c}{k}" for k in range(len(places)) for c in "vh")]
+    penalty = round(float(np.log(ALPHA)) * MICRO)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        for batch in batches:
+            for part in slices(batch, text):
+                hashes, codes, sizes = tokens(part.column(text))
+                micro, backed = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                rows = part.column("row").to_numpy()
+                of_words = tables[0].counts(hashes, 1)
+                for place, position, found in grams(hashes, codes, sizes, order):
+                    own = len(position) - (place.stop - place.start)
+                    counts = [of_words[codes[place.start - own : place.stop]], *(tables[k].counts(found[k], 0) for k in range(1, order))]
+                    score, steps = np.zeros(len(position), np.int64), np.zeros(len(position), np.int64)
+                    live, lost = np.ones(len(position), bool), np.zeros(len(position), bool)  # not decided; not known
+                    for level in range(order, 0, -1):
+                        n = counts[level - 1]
+                        here = live & (position >= level - 1)
+                        lost |= here & (n < 0)
+                        hit = here & (n > 0)
+                        below = np.full(len(n), total) if level == 1 else np.concatenate([[1], counts[level - 2][:-1]])
+                        score[hit] += np.rint(np.log(n[hit] / below[hit]) * MICRO).astype(np.int64)
+                        score[here & (n == 0)] += penalty
+                        steps[here & (n == 0)] += 1
+                        live &= ~(hit | lost)
+                    of = owner[place]
+                    score[lost], steps[lost] = 0, 0
+                    np.add.at(micro, of, score[own:])
+                    np.add.at(backed, of, steps[own:])
+                    left = np.flatnonzero(lost[own:]) + own
+                    if len(left):
+                        columns, needed = [], np.ones(len(left), bool)
+                        for k, (level, back) in enumerate(places):
+                            i = left - back
+                            v, h = counts[level - 1][i], found[level - 1][i].view(np.int64)
+                            use = needed & (position[left] >= level - 1 + back)
+                            if back:  # a context is needed if the longer n-gram isn't surely absent
+                                use &= top != 0
+                                needed = needed & ~(there & (top > 0))
+                            else:
+                                top, there = v, position[left] >= level - 1
+                            columns += [pa.array(v, pa.int64(), mask=~use), pa.array(h, pa.int64(), mask=~(use & (v < 0)))]
+                        none = pa.nulls(len(left), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[of[left - own]]), none, none, none, *columns], names)
+                none = pa.nulls(len(sizes), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, (sizes.astype(np.int64), micro, backed)), *([none] * (2 * len(places)))], names)
 
-def tables(df: DataFrame, row: str, w: str, order: int, least: int) -> list[DataFrame]:
-    """For each length 1 .. order: (gram, n, micro, backed) of all distinct n-grams of the corpus."""
-    out: list[DataFrame] = []
-    for n in range(1, order + 1):
-        g = grams(df, n, row, w)
-        if n == 1:
-            counts = materialise(g.groupBy("gram").agg(F.count("*").alias("n")))
-            total = counts.agg(F.sum("n")).first()[0] or 1
-            table = counts.select("gram", "n", F.round(F.log(F.col("n") / total) * MICRO).cast("long").alias("micro"), F.lit(0).alias("backed"))
-        else:
-            counts = g.groupBy("gram").agg(F.count("*").alias("n"), F.first("context").alias("context"), F.first("shorter").alias("shorter"))
-            context = out[-1].select(F.col("gram").alias("context"), F.col("n").alias("n_context"))
-            shorter = out[-1].select(F.col("gram").alias("shorter"), F.col("micro").alias("below"), F.col("backed").alias("steps"))
-            seen = F.col("n") >= least
-            micro = F.when(seen, F.round(F.log(F.col("n") / F.col("n_context")) * MICRO)).otherwise(F.col("below") + F.round(F.log(F.lit(ALPHA)) * MICRO)).cast("long")
-            table = materialise(counts.join(context, "context").join(shorter, "shorter").select("gram", "n", micro.alias("micro"), F.when(seen, 0).otherwise(F.col("steps") + 1).alias("backed")))
-        out.append(table)
-    return out
+    return df.select("row", lowered(F.col(text)).alias(text)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def lm_scores(df: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST) -> DataFrame:
@@ -61,26 +194,35 @@ def lm_scores(df: DataFrame, text: str = "text", order: int = ORDER, least: int
 
     The first words of a text are scored by the context there is. A null or empty text has no words and the score 0.0. The
     counts are those of all rows, repeated rows included. Every row gives one row; an empty table gives an empty one. Other
-    columns pass through, an input column with the name of a result is replaced.
+    columns pass through, an input column with the name of a result is replaced. Words and n-grams are told apart by 64-bit
+    hashes. Tables and joined rows are written below the shared folder.
     """
-    source = df.withColumns({"__row": F.monotonically_increasing_id(), "__w": words(F.col(text))})
-    slim = source.select("__row", "__w")
-    known = tables(slim, "__row", "__w", order, least)
-    parts = []
-    for n, table in enumerate(known, 1):
-        # below the full order only the n-gram at the start counts
-        g = (grams(slim, n, "__row", "__w") if n == order else grams(slim.withColumn("__w", F.slice("__w", 1, n)), n, "__row", "__w")).select("__row", "gram")
-        total = table.agg(F.sum("n")).first()[0] or 0
-        heavy = table.where(F.col("n") * HEAVY > total).select("gram", "micro", "backed")
-        light = table.where(F.col("n") * HEAVY <= total).select("gram", "micro", "backed")
-        marked = g.join(F.broadcast(heavy), "gram", "left")
-        parts.append(marked.where("micro is not null").groupBy("__row").agg(F.sum("micro").alias("micro"), F.sum("backed").alias("backed")))
-        rest = g.join(F.broadcast(heavy.select("gram")), "gram", "left_anti")
-        parts.append(rest.join(light, "gram").groupBy("__row").agg(F.sum("micro").alias("micro"), F.sum("backed").alias("backed")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    sums = every.groupBy("__row").agg(F.sum("micro").alias("__micro"), F.sum("backed").alias("__backed"))
-    kept = source.withColumn("n_words", F.size("__w").cast("long")).drop("__w", "n_backoffs", "log_score")
-    out = kept.join(sums, "__row", "left")
-    return out.withColumns({"n_backoffs": F.coalesce("__backed", F.lit(0).cast("long")), "log_score": F.coalesce("__micro", F.lit(0)) / F.lit(float(MICRO))}).drop("__row", "__micro", "__backed")
+    if least < 2 or order < 1:
+        raise ValueError("an order of 1 or more and a least count of 2 or more are needed")
+    spark = df.sparkSession
+    source, row = numbered(df)
+    slim = source.select(F.col(row).alias("row"), F.col(text).alias("__text"))
+    counts = store(counted(slim, "__text", order).where((F.col("level") == 1) | (F.col("n") >= least)), "lm-counts", "level")
+    table = lambda level: counts.where(F.col("level") == level).select("gram", "n")
+    total = table(1).agg(F.sum("n")).first()[0] or 1
+    rows = store(looked_up(slim, "__text", order, [Known(table(k), total) for k in range(1, order + 1)], total), "lm-rows")
+    places = slots(order)
+    done = rows.where("n_words is not null").select("row", "n_words", "micro", "backed")
+    rest = rows.where("n_words is null").select("row", *(f"{c}{k}" for k in range(len(places)) for c in "vh"))
+    # the lowest slots first: few words are neither frequent nor unrepeated; the n-grams of the full order come last
+    for k in range(len(places) - 1, -1, -1):
+        n = F.coalesce("n", F.lit(0)) if places[k][0] > 1 else F.col("n")
+        found = rest.where(F.col(f"h{k}").isNotNull()).join(table(places[k][0]), F.col(f"h{k}") == F.col("gram"), "left").withColumn(f"v{k}", n).drop("gram", "n", f"h{k}")
+        rest = rest.where(F.col(f"h{k}").isNull()).drop(f"h{k}").unionByName(store(found, "lm-found") if k else found)
+    score = F.round(F.log(F.col(f"v{len(places) - 1}") / total) * MICRO).cast("long")
+    steps = F.lit(0)
+    for k in range(len(places) - 3, -1, -2):
+        top, under = F.col(f"v{k}"), F.col(f"v{k + 1}")
+        hit = F.round(F.log(top / under) * MICRO).cast("long")
+        score = F.when(top > 0, hit).when(top == 0, score + F.round(F.log(F.lit(ALPHA)) * MICRO).cast("long")).otherwise(score)
+        steps = F.when(top > 0, F.lit(0)).when(top == 0, steps + 1).otherwise(steps)
+    every = done.unionByName(rest.select("row", F.lit(None).cast("long").alias("n_words"), score.alias("micro"), steps.cast("long").alias("backed")))
+    sums = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.sum("micro").alias("micro"), F.sum("backed").alias("n_backoffs"))
+    results = sums.select(F.col("row").alias(row), "n_words", "n_backoffs", (F.col("micro") / F.lit(float(MICRO))).alias("log_score"))
+    kept = source.drop("n_words", "n_backoffs", "log_score")
+    return kept.join(results, row, "left").drop(row)
