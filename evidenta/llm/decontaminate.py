@@ -1,10 +1,15 @@
-"""Benchmark decontamination with a positional inverted index, in DataFrame functions only.
-
-The index has a posting for each occurrence of a benchmark term in the training texts: row, position and, as its payload, the
-text's tokens, by which the offset-adjusted lists of the other terms are looked at in place instead of being shuffled. It is
-read from the rarest end: a count of all postings ranks the terms, every window is entered in the table under its rarest
-term, and only that term's postings are opened. Each gives a start (its position minus the term's offset), which the lists of
-the remaining terms cut down, from rare to frequent; the comparison with the whole window at last is exact.
+"""Benchmark decontamination with a distributed positional inverted index, in DataFrame functions only.
+
+The texts are split once. Of each token that some benchmark item has, a posting is written: row, position and the term's
+number. A further posting at the end of every text, of no term, gives its length. All else works on this index. A count of the
+postings ranks the terms; every window opens the list of its rarest term, and each of its postings gives a start (its position
+minus the term's offset). The list of the second rarest term is shifted by its own offset and intersected with these starts, an
+equi-join on row and position; then the lists of the remaining terms, all at once. What has a posting for each term at its
+place is an exact match, so no text or token array is looked at again. Proximity is the same with every place widened by `slop`.
+
+Keys of the joins hold a row and a position, so neither a frequent term nor a copied passage gathers in one task. The lists
+that the benchmark gives (terms, ranks) are broadcast up to BROADCAST_BYTES, by their measured size; beyond it their rows are
+repeated for each of SALTS salts and joined by shuffle, so that a frequent term is split.
 """
 
 from __future__ import annotations
@@ -12,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidenta.llm.common import materialise
+from evidenta.llm.common import numbered, store
 
 WINDOW = 8
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Window tables up to so many bytes are broadcast; larger ones are joined by a shuffle of the postings.
 BROADCAST_BYTES = 32 << 20
+SALTS = 32
 
 
 def words(text: Column) -> Column:
@@ -31,47 +36,47 @@ def words(text: Column) -> Column:
 
 def windows(items: DataFrame, item: str, text: str, size: int = WINDOW) -> DataFrame:
     """(window array, items array): the distinct windows of all items; a shorter item, if it has a word, is one window."""
-    w = items.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    w = items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its measured size allows it."""
-    total = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+def small_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table that grows with the benchmark only: broadcast if its measured size allows, else salted."""
+    bytes_ = small.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if bytes_ <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), key)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("__salt", F.pmod(F.col("pos"), F.lit(SALTS))).join(salted, [key, "__salt"]).drop("__salt")
 
 
-def postings(docs: DataFrame, row: str, tokens: str) -> DataFrame:
-    """(row, term, pos, tokens) of every token."""
-    return docs.select(row, tokens, F.posexplode(tokens).alias("pos", "term"))
+def index(docs: DataFrame, row: str, text: str, terms: DataFrame) -> DataFrame:
+    """(row, pos, term): the stored postings of `terms` (word, term), and of each text one of term -1 at its number of words."""
+    every = F.posexplode(F.concat(words(F.col(text)), F.array(F.lit("")))).alias("pos", "word")
+    end = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("term"))
+    return store(small_join(docs.select(F.col(row).alias("row"), every), terms.unionByName(end), "word").select("row", "pos", "term"), "postings")
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame, row: str, tokens: str, slop: int = 0) -> DataFrame:
-    """(row, tokens, start, window, items) where a window of `phrases` occurs.
+def phrase_matches(postings: DataFrame, plan: DataFrame, slop: int = 0) -> DataFrame:
+    """(row, start, window): every place where all terms of a window have a posting, each within `slop` of its own place.
 
-    slop > 0 asks for proximity: every word of the window, the rarest too, occurs within `slop` places of where the phrase
-    has it. A start may then lie before the text, and a window end behind it.
+    `plan` has window, rank (0 is the rarest term), offset, term and size. With a slop, a start may lie before the text.
     """
-    vocabulary = materialise(phrases.select(F.explode("window").alias("term")).distinct())
-    counts = materialise(postings(docs, row, tokens).select("term").join(small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
-    terms = phrases.select("window", "items", F.posexplode("window").alias("offset", "term")).join(counts, "term")  # a window with an unseen term can't occur
-    ranked = terms.groupBy("window").agg(F.first("items").alias("items"), F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("lists"))
-    plan = materialise(ranked.where(F.size("lists") == F.size("window")).select("window", "items", F.col("lists")[0]["term"].alias("rarest"), F.col("lists")[0]["offset"].alias("offset"), F.slice("lists", 2, WINDOW * 1024).alias("others")))
-    opened = postings(docs, row, tokens).join(small(plan), F.col("term") == F.col("rarest"))
-    start = F.col("pos") - F.col("offset")
-    if slop:
-        moved = opened.withColumn("start", F.explode(F.sequence(start - slop, start + slop))).dropDuplicates([row, "start", "window"])
-        first = lambda x: F.greatest(F.col("start") + x["offset"] - slop, F.lit(0))
-        last = lambda x: F.greatest(F.col("start") + x["offset"] + slop, F.lit(-1))
-        near = lambda x: F.array_contains(F.slice(tokens, first(x) + 1, F.greatest(last(x) - first(x) + 1, F.lit(0))), x["term"])
-        return moved.where(F.forall("others", near)).select(row, tokens, "start", "window", "items")
-    # the second list first: most starts end here
-    at = lambda k: F.get(F.col(tokens), F.col("pos") - F.col("offset") + k)
-    second = F.get("others", F.lit(0))
-    cut = second.isNull() | (at(second["offset"]) == second["term"])
-    rest = F.slice(tokens, F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window")
-    return opened.where((start >= 0) & cut & rest).select(row, tokens, start.alias("start"), "window", "items")
+    shift = lambda c: F.explode(F.sequence(c - slop, c + slop)) if slop else c
+    opened = small_join(postings, plan.where("rank = 0").select("term", "window", "offset", "size"), "term")
+    starts = opened.select("row", "window", "size", shift(F.col("pos") - F.col("offset")).alias("start"))
+    starts = starts.distinct() if slop else starts.where("start >= 0")
+    for lists, needed in ((plan.where("rank = 1"), F.least(F.col("size") - 1, F.lit(1))), (plan.where("rank > 1"), F.greatest(F.col("size") - 2, F.lit(0)))):
+        lists = lists.select("window", "rank", "offset", "term")
+        used = small_join(postings, lists.select("term").distinct(), "term")
+        wanted = starts.where(needed > 0).withColumn("pos", F.lit(0)).transform(lambda d: small_join(d, lists, "window"))
+        wanted = wanted.select("row", "window", "size", "start", "rank", "term", shift(F.col("start") + F.col("offset")).alias("pos"))
+        met = wanted.join(used, ["row", "pos", "term"], "left_semi")
+        met = met.select("row", "window", "size", "start", "rank").distinct() if slop else met
+        full = met.groupBy("row", "window", "size", "start").agg(F.count("*").alias("n")).where(F.col("n") == needed).drop("n")
+        # what has been opened and cut so far is written, so that no list is read twice for it
+        starts = store(full.unionByName(starts.where(needed == 0).select(*full.columns)), "starts")
+    return starts.select("row", "start", "window")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, least_items: int = 2, slop: int = 0) -> DataFrame:
@@ -79,25 +84,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     One row for each row of `docs`, repeated rows included; a null or empty text has no words and no items. Items without
     words have no windows; a null item id counts as the string "null". An empty benchmark marks nothing. Other columns pass
-    through; an input column with the name of a result is replaced. The text itself is left out of the shuffle. With `slop`
-    windows are found by proximity (see phrase_matches), and what of a window lies in the text is inside it.
+    through; an input column with the name of a result is replaced. The texts themselves are left out of every shuffle but the
+    last join, which has the columns that the caller goes on to use. With `slop` windows are found by proximity (see
+    phrase_matches), and what of a window lies in the text is inside it.
     """
-    source = docs.withColumns({"__row": F.monotonically_increasing_id(), "__w": words(F.col(text))})
-    phrases = materialise(windows(benchmark.withColumn("__item", F.coalesce(F.col(item).cast("string"), F.lit("null"))), "__item", item_text, size))
-    slim = source.select("__row", "__w")
-    hits = phrase_matches(slim, phrases, "__row", "__w", slop)
+    source, row = numbered(docs)
+    phrases = store(windows(benchmark, item, item_text, size).withColumn("window_id", F.monotonically_increasing_id()), "windows")
+    # numbered once they are written, so that every reading sees the same numbers
+    terms = store(phrases.select(F.explode("window").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
+    postings = index(source, row, text, terms)
+    ends = postings.where("term = -1").select("row", F.col("pos").cast("long").alias("n_words"))
+    counts = postings.where("term >= 0").groupBy("term").agg(F.count("*").alias("df"))
+    lists = phrases.select(F.col("window_id").alias("window"), F.size("window").alias("size"), F.posexplode("window").alias("offset", "word")).join(terms, "word").join(counts, "term")
+    ranked = lists.groupBy("window", "size").agg(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("lists")).where(F.size("lists") == F.col("size"))  # a window with an unseen term can't occur
+    plan = store(ranked.select("window", "size", F.posexplode("lists").alias("rank", "l")).select("window", "size", "rank", "l.offset", "l.term"), "plan")
+    hits = phrase_matches(postings, plan, slop).join(phrases.select(F.col("window_id").alias("window"), F.size("window").alias("length"), "items"), "window")
+    spans = hits.groupBy("row", "start").agg(F.max("length").alias("length")).join(ends, "row") if slop else hits.groupBy("row", "start").agg(F.max("length").alias("length"))
     if slop:
         begin = F.greatest("start", F.lit(0))
-        hits = hits.select("__row", begin.alias("start"), (F.least(F.col("start") + F.size("window"), F.size("__w")) - begin).alias("length"), "items")
-    else:
-        hits = hits.select("__row", "start", F.size("window").alias("length"), "items")
-    # a start counts once for each length; partial sums are made before the shuffle
-    spans = hits.groupBy("__row", "start").agg(F.max("length").alias("length"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    per_row = spans.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    covered = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(x["start"] + x["length"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["start"] + x["length"]).alias("end")), lambda a: a["n"])
-    found = per_row.select("__row", covered.alias("n_hit"), "items")
-    kept = source.withColumn("n_words", F.size("__w").cast("long")).drop("__w", "n_hit", "items", "contaminated")
-    out = kept.join(found, "__row", "left").drop("__row")
+        spans = spans.select("row", begin.alias("start"), (F.least(F.col("start") + F.col("length"), F.col("n_words")) - begin).alias("length"))
+    per_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("s"))
+    zero = F.lit(0).cast("long")
+    covered = F.aggregate("s", F.struct(zero.alias("n"), zero.alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(x["start"] + x["length"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["start"] + x["length"]).alias("end")), lambda a: a["n"])
+    found_items = hits.select("row", "items").distinct().select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = store(per_row.select("row", covered.alias("n_hit")).join(found_items, "row"), "hits")
     none = F.array().cast("array<string>")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none)})
+    results = ends.join(found, "row", "left").select(F.col("row").alias(row), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("items", none).alias("items"))
+    out = source.drop("n_words", "n_hit", "items", "contaminated").join(results, row, "left").drop(row)
     return out.withColumn("contaminated", F.size("items") >= least_items)
