@@ -8,8 +8,8 @@ the order of rows.
 Texts are read twice. The first reading counts, within slices, tasks and at last the hash partitions. The second one needs the
 count of each occurrence: fewer than HEAVY n-grams can hold more than 1 / HEAVY of all words, so these, and only these, are
 broadcast with their counts, and no key that is left for the joins is hot. A bitmap of BITS bits, whatever the corpus,
-lets most n-grams through that aren't repeated: they need no join. Of the others, one row for an occurrence meets the tables by
-its hash; the joins decide, so the bitmap's false positives change nothing but the number of rows.
+tells of most n-grams that they aren't repeated: they need no join. Of the others, a row for an occurrence meets the tables by
+its hash; the join decides, so the bitmap's false positives change nothing but the number of rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ HEAVY = 1 << 22
 #: Bits of the bitmap of repeated n-grams of one length.
 BITS = 1 << 26
 #: Words that are handled at once.
-STEP = 1 << 20
+STEP = 1 << 18
 SEED = 42
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -131,13 +131,15 @@ def slots(order: int) -> list[tuple[int, int]]:
 
 
 def looked_up(df: DataFrame, text: str, order: int, known: list[Known], total: int) -> DataFrame:
-    """A row for each text (n_words not null) with the sums of the scores that are known, and one for each other occurrence.
+    """A row for each text (n_words not null) with the sums of the scores that are known, and requests for counts.
 
-    Of the latter, v<k> is the count in a slot: null if it isn't needed, -1 if it is to be found by the hash h<k>.
+    An occurrence whose score needs one count or more gives a request row for each: the slot, the length and hash (`key`) to
+    look up. The counts v<k> of its other slots go with its first request; null is for a slot that isn't needed. `occ` tells
+    occurrences with several requests apart; it is 0 for one with a single request.
     """
     shared = df.sparkSession.sparkContext.broadcast(known)
     places = slots(order)
-    names = ["row", "n_words", "micro", "backed", *(f"{c}{k}" for k in range(len(places)) for c in "vh")]
+    names = ["row", "occ", "slot", "level", "key", "n_words", "micro", "backed", *(f"v{k}" for k in range(len(places)))]
     penalty = round(float(np.log(ALPHA)) * MICRO)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,59 +172,79 @@ def looked_up(df: DataFrame, text: str, order: int, known: list[Known], total: i
                     np.add.at(backed, of, steps[own:])
                     left = np.flatnonzero(lost[own:]) + own
                     if len(left):
-                        columns, needed = [], np.ones(len(left), bool)
-                        for k, (level, back) in enumerate(places):
-                            i = left - back
-                            v, h = counts[level - 1][i], found[level - 1][i].view(np.int64)
-                            use = needed & (position[left] >= level - 1 + back)
-                            if back:  # a context is needed if the longer n-gram isn't surely absent
-                                use &= top != 0
-                                needed = needed & ~(there & (top > 0))
-                            else:
-                                top, there = v, position[left] >= level - 1
-                            columns += [pa.array(v, pa.int64(), mask=~use), pa.array(h, pa.int64(), mask=~(use & (v < 0)))]
-                        none = pa.nulls(len(left), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[of[left - own]]), none, none, none, *columns], names)
+                        yield requests(rows[of[left - own]], left, position[left], counts, found, rows[of[left - own]] * 0 + place.start - own)
                 none = pa.nulls(len(sizes), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, (sizes.astype(np.int64), micro, backed)), *([none] * (2 * len(places)))], names)
+                key = pa.array(longer(rows.astype(np.uint64), np.uint64(SEED)).view(np.int64))  # spreads the rows; length 0 meets nothing
+                zero = pa.array(np.zeros(len(sizes), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), zero, none, zero, key, *map(pa.array, (sizes.astype(np.int64), micro, backed)), *([none] * len(places))], names)
+
+    def requests(rows: np.ndarray, left: np.ndarray, position: np.ndarray, counts: list[np.ndarray], found: list[np.ndarray], base: np.ndarray) -> pa.RecordBatch:
+        needed, values, open_ = np.ones(len(left), bool), [], []
+        for level, back in places:
+            v = counts[level - 1][left - back]
+            use = needed & (position >= level - 1 + back)
+            if back:  # a context is needed if the longer n-gram isn't surely absent
+                use &= top != 0  # noqa: F821
+                needed = needed & ~(there & (top > 0))  # noqa: F821
+            else:
+                top, there = v, position >= level - 1  # noqa: F841
+            values.append((v, use & (v >= 0)))
+            open_.append(use & (v < 0))
+        several = sum(x.astype(np.int64) for x in open_) > 1
+        occ = np.where(several, base + left + 1, 0)
+        told, out = np.zeros(len(left), bool), []
+        for k, (level, back) in enumerate(places):
+            at = np.flatnonzero(open_[k])
+            if not len(at):
+                continue
+            first = ~told[at]
+            told[at] = True
+            full = lambda x, n=len(at): pa.array(np.full(n, x, np.int64))
+            none = pa.nulls(len(at), pa.int64())
+            carried = [pa.array(v[at], pa.int64(), mask=~(there_[at] & first)) for v, there_ in values]
+            out.append(pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(occ[at]), full(k), full(level), pa.array(found[level - 1][left[at] - back].view(np.int64)), none, none, none, *carried], names))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     return df.select("row", lowered(F.col(text)).alias(text)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def scored(v: list[Column], total: int) -> tuple[Column, Column]:
+    """Score and number of steps back, from the counts in all slots."""
+    score, steps = F.round(F.log(v[-1] / total) * MICRO).cast("long"), F.lit(0).cast("long")
+    penalty = F.round(F.log(F.lit(ALPHA)) * MICRO).cast("long")
+    for k in range(len(v) - 3, -1, -2):
+        hit = F.round(F.log(v[k] / v[k + 1]) * MICRO).cast("long")
+        score, steps = F.when(v[k] > 0, hit).when(v[k] == 0, score + penalty).otherwise(score), F.when(v[k] > 0, F.lit(0).cast("long")).when(v[k] == 0, steps + 1).otherwise(steps)
+    return score, steps
+
+
 def lm_scores(df: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST) -> DataFrame:
     """Add n_words, n_backoffs and log_score (nats: the sum over words given up to `order` - 1 words before them).
 
     The first words of a text are scored by the context there is. A null or empty text has no words and the score 0.0. The
     counts are those of all rows, repeated rows included. Every row gives one row; an empty table gives an empty one. Other
     columns pass through, an input column with the name of a result is replaced. Words and n-grams are told apart by 64-bit
-    hashes. Tables and joined rows are written below the shared folder.
+    hashes. The count tables are written below the shared folder.
     """
     if least < 2 or order < 1:
         raise ValueError("an order of 1 or more and a least count of 2 or more are needed")
-    spark = df.sparkSession
     source, row = numbered(df)
     slim = source.select(F.col(row).alias("row"), F.col(text).alias("__text"))
     counts = store(counted(slim, "__text", order).where((F.col("level") == 1) | (F.col("n") >= least)), "lm-counts", "level")
     table = lambda level: counts.where(F.col("level") == level).select("gram", "n")
     total = table(1).agg(F.sum("n")).first()[0] or 1
-    rows = store(looked_up(slim, "__text", order, [Known(table(k), total) for k in range(1, order + 1)], total), "lm-rows")
-    places = slots(order)
-    done = rows.where("n_words is not null").select("row", "n_words", "micro", "backed")
-    rest = rows.where("n_words is null").select("row", *(f"{c}{k}" for k in range(len(places)) for c in "vh"))
-    # the lowest slots first: few words are neither frequent nor unrepeated; the n-grams of the full order come last
-    for k in range(len(places) - 1, -1, -1):
-        n = F.coalesce("n", F.lit(0)) if places[k][0] > 1 else F.col("n")
-        found = rest.where(F.col(f"h{k}").isNotNull()).join(table(places[k][0]), F.col(f"h{k}") == F.col("gram"), "left").withColumn(f"v{k}", n).drop("gram", "n", f"h{k}")
-        rest = rest.where(F.col(f"h{k}").isNull()).drop(f"h{k}").unionByName(store(found, "lm-found") if k else found)
-    score = F.round(F.log(F.col(f"v{len(places) - 1}") / total) * MICRO).cast("long")
-    steps = F.lit(0)
-    for k in range(len(places) - 3, -1, -2):
-        top, under = F.col(f"v{k}"), F.col(f"v{k + 1}")
-        hit = F.round(F.log(top / under) * MICRO).cast("long")
-        score = F.when(top > 0, hit).when(top == 0, score + F.round(F.log(F.lit(ALPHA)) * MICRO).cast("long")).otherwise(score)
-        steps = F.when(top > 0, F.lit(0)).when(top == 0, steps + 1).otherwise(steps)
-    every = done.unionByName(rest.select("row", F.lit(None).cast("long").alias("n_words"), score.alias("micro"), steps.cast("long").alias("backed")))
-    sums = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.sum("micro").alias("micro"), F.sum("backed").alias("n_backoffs"))
+    wanted = looked_up(slim, "__text", order, [Known(table(k), total) for k in range(1, order + 1)], total)
+    light = counts.where(F.col("n") * HEAVY <= total).select(F.col("level").cast("long").alias("level"), F.col("gram").alias("key"), "n")
+    met = wanted.join(light, ["level", "key"], "left")
+    places = range(len(slots(order)))
+    v = [F.when(F.col("slot") == k, F.coalesce("n", F.lit(0))).otherwise(F.col(f"v{k}")) for k in places]
+    score, steps = scored(v, total)
+    # an occurrence with one request is scored at once and summed within the task; those with several are put together first
+    single = F.col("slot").isNotNull() & (F.col("occ") == 0)
+    parts = met.select("row", "occ", "n_words", F.when(single, score).otherwise(F.col("micro")).alias("micro"), F.when(single, steps).otherwise(F.col("backed")).alias("backed"), *(F.when(~single, x).alias(f"v{k}") for k, x in zip(places, v, strict=True)))
+    each = parts.groupBy("row", "occ").agg(F.max("n_words").alias("n_words"), F.sum("micro").alias("micro"), F.sum("backed").alias("backed"), *(F.max(f"v{k}").alias(f"v{k}") for k in places))
+    score, steps = scored([F.col(f"v{k}") for k in places], total)
+    split = F.col("occ") > 0
+    sums = each.select("row", "n_words", F.when(split, score).otherwise(F.col("micro")).alias("micro"), F.when(split, steps).otherwise(F.col("backed")).alias("backed")).groupBy("row").agg(F.max("n_words").alias("n_words"), F.sum("micro").alias("micro"), F.sum("backed").alias("n_backoffs"))
     results = sums.select(F.col("row").alias(row), "n_words", "n_backoffs", (F.col("micro") / F.lit(float(MICRO))).alias("log_score"))
-    kept = source.drop("n_words", "n_backoffs", "log_score")
-    return kept.join(results, row, "left").drop(row)
+    return source.drop("n_words", "n_backoffs", "log_score").join(results, row, "left").drop(row)

@@ -168,8 +168,13 @@ def test_lm_scores_by_brute_force(docs):
         assert r["log_score"] == pytest.approx(want[r["doc_id"]], abs=1e-2)
 
 
-def test_lm_scores_of_order_3_by_brute_force(spark):
+@pytest.mark.parametrize(("heavy", "order"), [(lm_score.HEAVY, 3), (4, 3), (4, 2), (0, 2), (0, 1)])
+def test_lm_scores_of_any_order_by_brute_force(spark, monkeypatch, heavy, order):
+    # fewer or no frequent n-grams: counts come from the join, one or several for an occurrence
+    monkeypatch.setattr(lm_score, "HEAVY", heavy)
+    rng = random.Random(order)
     split = [x.split() for x in ("a b c a b c", "a b c d", "x y z", "b c a b d", "", "a", "q a b c x y")]
+    split += [[rng.choice("abcdefghijklmnopq") for _ in range(rng.randrange(40))] for _ in range(20)]
     of = [Counter(tuple(ws[i : i + n]) for ws in split for i in range(len(ws) - n + 1)) for n in (1, 2, 3)]
 
     def score(gram):
@@ -181,14 +186,28 @@ def test_lm_scores_of_order_3_by_brute_force(spark):
         below, steps = score(gram[1:])
         return below + math.log(0.4), steps + 1
 
-    want = [[score(tuple(ws[max(i - 2, 0) : i + 1])) for i in range(len(ws))] for ws in split]
-    assert any(steps > 1 for w in want for _, steps in w)
+    want = [[score(tuple(ws[max(i - order + 1, 0) : i + 1])) for i in range(len(ws))] for ws in split]
+    assert max(steps for w in want for _, steps in w) == order - 1
     docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(split)], "doc_id long, text string")
-    for r, w in zip(lm_score.lm_scores(docs, order=3).orderBy("doc_id").collect(), want, strict=True):
+    for r, w in zip(lm_score.lm_scores(docs, order=order).orderBy("doc_id").collect(), want, strict=True):
         assert r["n_backoffs"] == sum(steps for _, steps in w)
         assert r["log_score"] == pytest.approx(sum(x for x, _ in w), abs=1e-3)
 
 
+def test_grams_in_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["a b c", "", " d  e\tf g ", "a", None or ""])
+    whole = [(p.tolist(), [g.tolist() for g in found]) for _, p, found in lm_score.grams(*lm_score.tokens(texts), 3)]
+    monkeypatch.setattr(lm_score, "STEP", 3)
+    pieces = [(np.concatenate([p])[len(p) - (place.stop - place.start) :].tolist(), [g[len(p) - (place.stop - place.start) :].tolist() for g in found]) for place, p, found in lm_score.grams(*lm_score.tokens(texts), 3)]
+    assert len(whole) == 1 and whole[0][0] == [0, 1, 2, 0, 1, 2, 3, 0] == sum((p for p, _ in pieces), [])
+    for level in range(3):
+        joined = sum((g[level] for _, g in pieces), [])
+        assert [x for x, at in zip(joined, whole[0][0]) if at >= level] == [x for x, at in zip(whole[0][1][level], whole[0][0]) if at >= level]
+
+
 def test_html_extraction(spark):
     article = "<article><h1>Title</h1><p>First &amp; long   paragraph of the page, number {}.</p><p>Second text {} here.</p></article>"
     page = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Home</a></nav>" + article + "<div class='comments'><p>reader says</p></div><footer>(c)</footer><script>x()</script></body></html>"
