@@ -67,6 +67,14 @@ def store(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Plan nodes that give the same rows in the same partitions each time they are read.
 IN_PLACE = frozenset(("Project", "Filter", "LogicalRelation", "SubqueryAlias"))
 
@@ -77,9 +85,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     A scan with projections and filters is numbered in place, since its files fix partitions and order; rows of any other plan
     are written to the shared folder with their numbers, so that each branch that reads them sees the same ones.
     """
-    name = "__row"
-    while name in df.columns:
-        name += "_"
+    name = fresh(df, "__row")
     out = df.withColumn(name, F.monotonically_increasing_id())
     plan, nodes = df._jdf.queryExecution().optimizedPlan(), []
     todo = [plan]

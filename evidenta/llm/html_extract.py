@@ -2,10 +2,14 @@
 
 Pages become trees of block elements. Trees of one host are aligned by simple tree matching and folded into one template: a
 node whose text is the same on all pages that have it, and that stands on half of the host's distinct pages or more, is
-template; any other is a slot. Pages of equal text count once. Runs of like siblings (paragraphs, list items) fold into one
-node. Folding is associative, so each task folds its own pages and partial templates are folded by host in two rounds; no task
-sees all pages of a host. A page is then read along its host's template: constant nodes go, as do elements that are
-boilerplate by name (menus, forms, notices, comments ...), and the slots of the content element stay.
+template; any other is a slot, with the amount of text outside links that all pages have in it. Pages of equal text count
+once. Runs of like siblings (paragraphs, list items) fold into one node. Folding is associative, so each task folds its own
+pages and partial templates are folded by host in two rounds; no task sees all pages of a host.
+
+The host's template tells where the content is: from the root down to the slot that holds most of the varying text of all
+pages, as long as no headline stands beside it. A page is read along that path, constant nodes go, and what stays are its
+slots. A page of a host with few pages is read along its own tree. Names only support this: an element whose class, id or role
+says nothing but boilerplate goes, one whose name merely has such a word goes if most of its text is in links.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidenta.llm.common import materialise, slices
+from evidenta.llm.common import fresh, materialise, slices
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,19 +50,27 @@ ENDS_PARAGRAPH = BLOCK - {"html", "head", "title", "td", "th", "tr", "tbody", "t
 #: Words in class, id or role that mark boilerplate.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist commentary disqus respond reply replies cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription subscribebox share sharing social related recommended recommendations widget masthead topbar toolbar pagination pager skip login signup signin register search searchbox copyright complementary contentinfo form tracking outbrain taboola".split())
 HEADER_WORDS = frozenset("header head topbar masthead banner".split())
+#: Words beside them that tell nothing of the content.
+NEUTRAL = frozenset("area bar block body bottom box button buttons column container content entries footer form group header holder inner item items left link links list main message more news outer page panel posts articles stories right row section site slot story text thread title top unit user wrap wrapper".split())
 CONTENT_WORDS = frozenset("content article post entry story main maincontent articlebody body text".split())
+#: The path to the content goes on to an element that has this share of the varying text, to a marked one from the second on.
+SHARE, MARKED_SHARE = 0.8, 0.5
+#: A name that merely has a word of boilerplate counts if links have this share of the text.
+LINKED = 0.5
+#: In an article or main element, a node is template only on this share of so many distinct pages (near copies share text).
+INNER_SHARE, INNER_PAGES = 0.9, 10
 #: A node is taken for template only if so many pages of the host agree on it and the host's pages differ elsewhere.
 LEAST_PAGES = 4
 #: And only if it stands on this share of the host's distinct pages.
 LEAST_SHARE = 0.5
-#: Elements of a marked content element that stay, however many pages share them, unless they are boilerplate by name.
-KEPT = HEADINGS | frozenset("p li blockquote pre article main section div ul ol dl dt dd figure figcaption table caption thead tbody tfoot tr th td".split())
 #: Elements nested deeper are read as blocks of the element at this depth; they open and close like any other.
 DEEPEST = 120
 #: Pairs of unlike siblings that are weighed against each other; beyond it their names alone are aligned.
 MOST_PAIRS = 1600
 #: Templates up to so many bytes in all are sent to the workers; larger ones are joined by host.
 BROADCAST_BYTES = 32 << 20
+#: Parts of a host's pages where wrappers are joined.
+SALTS = 32
 #: Hosts whose partial templates a task holds before it hands them on.
 HELD_HOSTS = 2000
 
@@ -69,10 +81,10 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("attrs", "key", "parts", "tag", "words")
+    __slots__ = ("attrs", "key", "linked", "parts", "tag", "words")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.parts = tag, []  # children, and strings of text; None is a link's border
+        self.tag, self.parts, self.linked = tag, [], 0  # children and strings of text; characters of text in links
         self.attrs = dict((m[0].lower(), html.unescape(m[1] or m[2] or m[3])) for m in ATTRIBUTE.findall(attrs)) if attrs.strip() else {}
         names = " ".join(self.attrs.get(k, "") for k in ("class", "id", "role"))
         self.words = frozenset(w.lower() for w in WORD.findall(names)) if names.strip() else frozenset()
@@ -88,13 +100,18 @@ def parse(page: str) -> Node:
     # names of the open elements, and for each the node that takes its text
     names, stack, at, end = ["html"], [root], 0, len(page)
     sinks: set[int] = set()
+    inline: set[str] = set()  # names of inline elements that have been opened as nodes
+    in_link = False
 
     def add(text: str) -> None:
         if text:
             stack[-1].parts.append(html.unescape(text) if "&" in text else text)
+            if in_link:
+                stack[-1].linked += len(text)
 
     def close(k: int) -> None:
-        inner = stack[-1]
+        nonlocal in_link
+        inner, in_link = stack[-1], False
         del names[k:], stack[k:]
         if k >= DEEPEST and inner is stack[-1] and id(inner) not in sinks:
             inner.parts.append(Node("div"))  # a block ends here
@@ -107,8 +124,10 @@ def parse(page: str) -> Node:
             if m[0].startswith("<![CDATA["):
                 stack[-1].parts.append(m[0][9:].removesuffix("]]>"))
             continue
+        if name == "a":
+            in_link = not m[1]
         if m[1]:
-            if name in BLOCK or name in DROPPED:
+            if name in BLOCK or name in DROPPED or name in inline:
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] == name:
                         close(k)
@@ -139,6 +158,8 @@ def parse(page: str) -> Node:
             continue
         if name in BLOCK or name in DROPPED or m[3] and ("hidden" in m[3] or "display" in m[3]):
             node = Node(name, m[3])
+            if name not in BLOCK and name not in DROPPED:
+                inline.add(name)
             if len(names) >= DEEPEST and id(stack[-1]) in sinks:
                 node = stack[-1]
             else:
@@ -155,24 +176,46 @@ def parse(page: str) -> Node:
     return root
 
 
+@lru_cache(maxsize=1 << 16)
+def named(key: str) -> tuple[str, bool, bool]:
+    """(tag, name of boilerplate and nothing else, name with a word of boilerplate) of a node's key."""
+    tag, _, names = key.partition(" ")
+    tokens = [{w.lower() for w in WORD.findall(x)} for x in names.split()]
+    marked = [x for x in tokens if x & BOILERPLATE]
+    return tag, any(x <= BOILERPLATE | NEUTRAL for x in marked), bool(marked)
+
+
+def shown(node: Node) -> tuple[int, int]:
+    """Characters of text below a node, and those in links."""
+    n, linked = sum(len(x.strip()) for x in node.parts if type(x) is str), node.linked
+    for c in node.children():
+        more = shown(c)
+        n, linked = n + more[0], linked + more[1]
+    return n, linked
+
+
 def boilerplate(node: Node, inside: bool) -> bool:
-    """Whether an element goes by its name, class, id or role; inside: it stands in the article."""
+    """Whether an element goes by its name, class, id or role; inside: it stands in the content element."""
     if node.tag in DROPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or "display:none" in node.attrs.get("style", "").replace(" ", ""):
         return True
     if node.tag in ("html", "body", "main", "p") and not node.words & {"comment", "comments"} or node.tag in HEADINGS:
         return False
     if node.tag == "header" or node.words & HEADER_WORDS and node.tag != "article":
         return not inside
-    if not node.words & BOILERPLATE:
+    _, only, some = named(node.key)
+    if not some or node.tag != "article" and holds_article(node):
         return False
-    return node.tag == "article" and bool(node.words & {"comment", "comments", "reply", "ad", "related"}) or node.tag != "article" and not holds_article(node)
+    if not only:
+        n, linked = shown(node)
+        return linked >= LINKED * n > 0
+    return node.tag != "article" or bool(node.words & {"comment", "comments", "reply", "ad", "related"})
 
 
 def holds_article(node: Node) -> bool:
     return any(x.tag in ("article", "main") and not x.words & BOILERPLATE or holds_article(x) for x in node.children())
 
 
-# --- templates: [key, pages, text hash or 0 if it varies, run of siblings?, children]
+# --- templates: [key, pages, text hash or 0 if it varies, run of siblings?, children, characters outside links, in links]
 
 
 def digest(text: str) -> int:
@@ -193,7 +236,8 @@ def template(node: Node, made: dict[int, list] | None = None) -> list:
         else:
             children.append(own)
     text = own_text(node)
-    out = [node.key, 1, digest(text) if text else -1, False, children]
+    linked = min(node.linked, len(text))
+    out = [node.key, 1, digest(text) if text else -1, False, children, len(text) - linked, linked]
     if made is not None:
         made[id(node)] = out
     return out
@@ -319,15 +363,15 @@ def fold(a: list, b: list, run: bool = False) -> list:
         if x < len(a[4]):
             out.append(fold(a[4][x], b[4][y], run))
         i, j = x + 1, y + 1
-    return [a[0], max(a[1], b[1]) if run else a[1] + b[1], text, run or a[3] or b[3], out]
+    return [a[0], max(a[1], b[1]) if run else a[1] + b[1], text, run or a[3] or b[3], out, a[5] + b[5], a[6] + b[6]]
 
 
 def varies(t: list) -> bool:
     return t[2] == 0 or any(map(varies, t[4]))
 
 
-def constant_nodes(node: Node, own: list, t: list, least: float, made: dict[int, list], out: set[int]) -> None:
-    """Ids of the nodes of a page that are template: node and subtree have the same text on all of `least` or more pages.
+def constant_nodes(node: Node, own: list, t: list, pages: int, made: dict[int, list], out: set[int], inside: bool = False) -> None:
+    """Ids of the nodes of a page that are template: node and subtree have the same text on all of enough of `pages` pages.
 
     `own` is the page's template of the node, or of the run that it stands in.
     """
@@ -337,6 +381,8 @@ def constant_nodes(node: Node, own: list, t: list, least: float, made: dict[int,
             groups[-1].append(child)
         else:
             groups.append([child])
+    inside = inside or node.tag in ("article", "main")
+    least = max(INNER_PAGES, INNER_SHARE * pages) if inside else max(LEAST_PAGES, LEAST_SHARE * pages)
     mine = made[id(node)][4]
     places = dict(align(own[4], t[4])[1])
     for i, k in [(k, k) for k in range(len(mine))] if own is made[id(node)] else align(mine, own[4])[1]:
@@ -347,36 +393,42 @@ def constant_nodes(node: Node, own: list, t: list, least: float, made: dict[int,
             out.update(map(id, groups[i]))
         else:
             for child in groups[i]:
-                constant_nodes(child, o, c, least, made, out)
+                constant_nodes(child, o, c, pages, made, out, inside)
 
 
 # --- text
 
 
-def chosen(root: Node) -> tuple[Node, bool]:
-    """The content element, and whether it is marked as such: the longest article, else main, else a container by its name."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
-
-    def walk(node: Node) -> None:
-        for child in node.children():
-            if boilerplate(child, False):
-                continue
-            if child.tag == "article":
-                found["article"].append(child)
-                continue
-            if child.tag == "main" or child.attrs.get("role") == "main":
-                found["main"].append(child)
-            elif child.words & CONTENT_WORDS and child.tag in ("div", "section", "td"):
-                found["named"].append(child)
-            walk(child)
-
-    walk(root)
-    for kind in ("article", "main", "named"):
-        if found[kind]:
-            best = max(found[kind], key=lambda x: sum(map(len, text_blocks(x, frozenset(), True))))
-            if kind != "named" or sum(map(len, text_blocks(best, frozenset(), True))) * 2 > sum(map(len, text_blocks(root, frozenset(), False))):
-                return best, True
-    return root, False
+def mass(t: list, least: float) -> int:
+    """Characters of varying text outside links below a template's node, without boilerplate by name."""
+    tag, only, _ = named(t[0])
+    if tag in DROPPED or tag == "header" or only and tag not in ("html", "body", "main", "p", "article") or t[1] >= least and not varies(t):
+        return 0
+    return t[5] + sum(mass(c, least) for c in t[4])
+
+
+def content(root: Node, own: list, t: list, least: float, made: dict[int, list]) -> Node:
+    """The element of a page that the path in a template leads to; `own` and `made` are the page's own template."""
+    node = root
+    while node.tag not in ("article", "main"):
+        masses = [mass(c, least) for c in t[4]]
+        best = max(range(len(masses)), key=masses.__getitem__, default=None)
+        if best is None:
+            break
+        tag = named(t[4][best][0])[0]
+        marked = tag in ("article", "main") or bool({w.lower() for w in WORD.findall(t[4][best][0].partition(" ")[2])} & CONTENT_WORDS)
+        beside = any(m and k != best and named(t[4][k][0])[0] in HEADINGS for k, m in enumerate(masses))
+        if tag in HEADINGS or tag in ("p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure") or beside or masses[best] < (MARKED_SHARE if marked else SHARE) * (sum(masses) + t[5]):
+            break
+        at = next((i for i, k in align(own[4], t[4])[1] if k == best), None)
+        if at is None:
+            break
+        group = [c for c in node.children() if c.key == own[4][at][0]]
+        if len(group) != 1:
+            break
+        node, t = group[0], t[4][best]
+        own = made[id(node)]
+    return node
 
 
 def text_blocks(node: Node, constant: frozenset | set, inside: bool) -> list[str]:
@@ -411,19 +463,18 @@ def extract(page: str | None, wrapper: list | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    element, marked = chosen(root)
     constant: set[int] = set()
+    made: dict[int, list] = {}
+    own = template(root, made)
+    element = None
     if wrapper is not None and wrapper[1] >= LEAST_PAGES and varies(wrapper):
-        made: dict[int, list] = {}
-        constant_nodes(root, template(root, made), wrapper, max(LEAST_PAGES, LEAST_SHARE * wrapper[1]), made, constant)
-        if marked:
-            keep = [element]
-            while keep:
-                x = keep.pop()
-                if x.tag in KEPT:
-                    constant.discard(id(x))
-                keep += x.children()
-    return "\n\n".join(text_blocks(element, constant, marked))
+        constant_nodes(root, own, wrapper, wrapper[1], made, constant)
+        element = content(root, own, wrapper, max(LEAST_PAGES, LEAST_SHARE * wrapper[1]), made)
+        found = text_blocks(element, constant, element.tag not in ("html", "body"))
+        if found:
+            return "\n\n".join(found)
+    element = content(root, own, own, 2, made)  # nothing of a single page is constant
+    return "\n\n".join(text_blocks(element, constant, element.tag not in ("html", "body")))
 
 
 # --- Spark
@@ -478,7 +529,9 @@ def induce(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     # pages of equal text are one page; only templates are shuffled
     distinct = source.mapInArrow(single, "host string, text long, wrapper string").groupBy("host", "text").agg(F.min("wrapper").alias("wrapper"))
     partial = distinct.select("host", "wrapper").mapInArrow(run, "host string, wrapper string")
-    some = partial.withColumn("salt", F.spark_partition_id() % 16).groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
+    # two rounds of about the same fan-in
+    fan_in = isqrt(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    some = partial.withColumn("salt", F.spark_partition_id() % fan_in).groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
     return some.groupBy("host").applyInPandas(merge, "host string, wrapper string")
 
 
@@ -492,20 +545,22 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", name: s
     spark = pages.sparkSession
     wrappers = materialise(induce(pages, url, page))
     total = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    source = pages.withColumns({"__host": host_of(F.col(url)), "__page": F.col(page)})
+    host, html_, own, salt = (fresh(pages, x) for x in ("__host", "__page", "__wrapper", "__salt"))
+    source = pages.withColumns({host: host_of(F.col(url)), html_: F.col(page)})
     if total <= BROADCAST_BYTES:
         table = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.toLocalIterator()})
-    else:
+    else:  # a host's pages are split by a salt, for which its wrapper is repeated
         table = None
-        source = source.join(wrappers.withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"}), "__host", "left")
+        salted = wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(own), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        source = source.withColumn(salt, F.pmod(F.xxhash64(html_), F.lit(SALTS)).cast("int")).join(salted, [host, salt], "left")
     kept = [f for f in pages.schema.fields if f.name != name]
-    source = source.select(*(f.name for f in kept), "__host", "__page", *(["__wrapper"] * (table is None)))
+    source = source.select(*(f.name for f in kept), host, html_, *([own] * (table is None)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__page"):
-                blobs = [table.value.get(h) for h in part.column("__host").to_pylist()] if table is not None else part.column("__wrapper").to_pylist()
-                texts = [extract(x, loaded(b) if b else None) for x, b in zip(part.column("__page").to_pylist(), blobs, strict=True)]
+            for part in slices(batch, html_):
+                blobs = [table.value.get(h) for h in part.column(host).to_pylist()] if table is not None else part.column(own).to_pylist()
+                texts = [extract(x, loaded(b) if b else None) for x, b in zip(part.column(html_).to_pylist(), blobs, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(texts, pa.string())], [*(f.name for f in kept), name])
 
     return source.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.StringType())]))

@@ -253,6 +253,66 @@ def test_html_deep_elements_close_themselves():
     assert html_extract.extract(boxed, None) == "main text"
 
 
+def test_html_inline_hidden_elements_close():
+    page = '<html><body><article><p>one <span hidden>no</span> two</p><p>three</p><i aria-hidden="true"></i> tail text<p>x</p></article></body></html>'
+    assert html_extract.extract(page, None) == "one\n\ntwo\n\nthree\n\ntail text\n\nx"
+
+
+def test_html_all_articles_and_what_stands_with_them_stay():
+    page = "<html><body><nav>menu</nav><main><h1>Headline</h1><p>lead</p><article>first</article><article>second and longer</article></main><footer>foot</footer></body></html>"
+    assert html_extract.extract(page, None) == "Headline\n\nlead\n\nfirst\n\nsecond and longer"
+
+
+def test_html_names_that_merely_have_a_word_of_boilerplate():
+    page = "<html><body><article><p>See the text.</p><div class='related-work'>Work of others.</div><section id='search-results'>Results of the search.</section><p class='x'>Then</p><div class='form-factor'>A factor.</div><div class='share-buttons'>Share</div><div class='related-reading'><a href='/a'>Other page</a> <a href='/b'>Another</a></div></article></body></html>"
+    assert html_extract.extract(page, None) == "See the text.\n\nWork of others.\n\nResults of the search.\n\nThen\n\nA factor."
+
+
+def test_html_wrapper_finds_content_without_telling_names(spark):
+    def page(k):
+        teaser = f"<div class='qb'><p>Buy thing {k} now, it is the very best thing that you can buy in all the town and more, {'really ' * (40 if k == 3 else 2)}.</p></div>"
+        body = "".join(f"<p>Sentence {k} {i} of the main text, which goes on for a while.</p>" for i in range(2 if k == 3 else 12))
+        return f"<html><body><div class='qa'><b>Some Site</b> since 1999</div>{teaser}<div class='qc'><h1>Title {k}</h1>{body}<div class='qe'>All rights to the words of this site stay here.</div></div><div class='qd'>Page {k} of it</div></body></html>"
+
+    pages = [page(k) for k in range(12)]
+    got = extracted(spark, pages)
+    for k, text in enumerate(got):
+        n = 2 if k == 3 else 12
+        assert text == "\n\n".join([f"Title {k}", *(f"Sentence {k} {i} of the main text, which goes on for a while." for i in range(n))])
+    alone = html_extract.extract(pages[3], None)
+    assert "Buy thing" in alone and "since 1999" in alone  # nothing tells them by name
+    boxed = [x.replace("<div class='qc'>", "<article>").replace("stay here.</div></div>", "stay here.</div></article>") for x in pages]
+    assert not any("All rights" in x for x in extracted(spark, boxed)) and "All rights" in html_extract.extract(boxed[0], None)
+    assert all("All rights" in x for x in extracted(spark, boxed[:9]))  # too few pages to tell it from near copies
+
+
+def test_html_equals_a_plain_reading_of_the_table(spark):
+    import html as H
+    import re
+
+    def plain(page):
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = (re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x)) for x in re.split(r"</?(?:p|h\d|li|ul|ol|div|table|tr|td|th|blockquote|pre)\b[^>]*>", inner))
+        return "\n\n".join(y for x in blocks if (y := " ".join(H.unescape(x).split())))
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.op1_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {k: (plain(x or "<article></article>"), len(plain(x or "<article></article>"))) for k, x in pages.items()}
+
+
+def test_html_nulls_clashes_copies_and_empty_tables(spark):
+    rows = [(1, "http://h/1", "<p>one</p>", "a"), (1, "http://h/1", "<p>one</p>", "a"), (None, None, None, None), (2, "http://h/2", "", "b"), (3, "no host", "<p>" + "long " * 100000 + "</p>", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __host string").withColumns({c: F.lit("mine") for c in ("text", "__page", "__wrapper", "__salt")})
+    for limit in (html_extract.BROADCAST_BYTES, -1):
+        html_extract.BROADCAST_BYTES, before = limit, html_extract.BROADCAST_BYTES
+        try:
+            got = sorted((r["page_id"] or 0, r["text"][:9], r["__host"], r["__page"]) for r in html_extract.extract_text(df).collect())
+            assert got == [(0, "", None, "mine"), (1, "one", "a", "mine"), (1, "one", "a", "mine"), (2, "", "b", "mine"), (3, "long long", "c", "mine")]
+            assert html_extract.extract_text(df.where("false")).collect() == []
+        finally:
+            html_extract.BROADCAST_BYTES = before
+
+
 def test_html_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
