@@ -5,16 +5,22 @@ them. Every document's n-grams are exploded, joined to those tables and summed p
 times backs off to the one shorter by its first word, times ALPHA. Scores are whole micro-nats, so that sums don't depend on
 the order of rows.
 
-Texts are read twice. The first reading counts, within slices, tasks and at last the hash partitions. The second one needs the
-count of each occurrence: fewer than HEAVY n-grams can hold more than 1 / HEAVY of all words, so these, and only these, are
-broadcast with their counts, and no key that is left for the joins is hot. A bitmap of BITS bits, whatever the corpus,
-tells of most n-grams that they aren't repeated: they need no join. Of the others, a row for an occurrence meets the tables by
-its hash; the join decides, so the bitmap's false positives change nothing but the number of rows.
+A repeated n-gram's parts are repeated too, so a score is a sum over lengths: that of the last word with a step back for every
+longer n-gram, and for each n-gram that is repeated the difference it makes. The tables hold these differences, and an
+n-gram that isn't repeated needs no row at all.
+
+Texts are read once for words, once for longer n-grams and once for the scores. Fewer than HEAVY words or n-grams of one length
+can hold more than 1 / HEAVY of all words; these, and only these, are broadcast, so no key that is left for the join is hot. A
+pair of such words is keyed by their two numbers instead of a hash, so that its table needs no context column. A bitmap of BITS
+bits, whatever the corpus, tells of most n-grams that they aren't repeated. Of the others, a row for an occurrence (its text
+and key) meets the tables; the join decides, so the bitmap's false positives change nothing but the number of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +37,13 @@ LEAST = 2
 MICRO = 1_000_000
 #: Fewer n-grams than this are broadcast (16 bytes each).
 HEAVY = 1 << 22
-#: Bits of the bitmap of repeated n-grams of one length.
-BITS = 1 << 26
+#: Bits of the bitmap of repeated n-grams of one length: the greatest prime below 2**26.
+BITS = 67108859
 #: Words that are handled at once.
 STEP = 1 << 18
 SEED = 42
+#: A step back, in micro-nats.
+PENALTY = round(math.log(ALPHA) * MICRO)
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
@@ -66,156 +74,168 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
 
 
-def grams(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray]]]:
-    """Blocks of occurrences: their place, their position in the text, and for each length the hash of the n-gram that ends there.
+def hashed(kind: int, h: np.ndarray) -> np.ndarray:
+    """A hash as a key: its first two bits tell words (1), pairs (2) and longer n-grams (3) apart; 0 is a pair of frequent words."""
+    return (h >> np.uint64(2)) | np.uint64(kind << 62)
 
-    A hash is void where the position is less than the length minus one. Each block begins with the `order` - 1 words before its
-    place, which are only context.
+
+class Known:
+    """What a task knows of one length: the frequent keys with their counts and scores, and which others may be repeated."""
+
+    def __init__(self, table: DataFrame, total: int):
+        heavy = table.where(F.col("n") * HEAVY > total).select("key", "n", "micro").toArrow()  # fewer than HEAVY rows
+        order = np.argsort(heavy.column("key").to_numpy())
+        self.key, self.n, self.micro = (heavy.column(c).to_numpy()[order] for c in ("key", "n", "micro"))
+        at = F.pmod("key", F.lit(BITS))
+        rows = table.where("n > 1").groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # BITS / 8 bytes
+        self.bits = np.zeros((BITS >> 15) + 1 << 12, np.uint8)
+        for r in rows:
+            self.bits[r["bucket"] << 12 : r["bucket"] + 1 << 12] = np.frombuffer(r["bits"], np.uint8)
+
+    def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of signed keys among the frequent ones (-1: not among them), and whether others may be repeated."""
+        at = np.mod(key, BITS)
+        maybe = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        place = np.full(len(key), -1, np.int64)
+        if len(self.key):
+            k = np.flatnonzero(maybe)
+            found = np.minimum(np.searchsorted(self.key, key[k]), len(self.key) - 1)
+            place[k] = np.where(self.key[found] == key[k], found, -1)
+        return place, maybe & (place < 0)
+
+
+class Block:
+    """Occurrences of a slice: their texts, positions, and for each length from 2 on the keys of the n-grams ending there."""
+
+    def __init__(self, words: np.ndarray, place: np.ndarray, once: np.ndarray, position: np.ndarray, own: int, order: int):
+        self.position, self.own = position[own:], own
+        back = lambda x: np.concatenate([x[:1], x[:-1]])
+        pair = (back(place) << 31) | place
+        both = (place >= 0) & (back(place) >= 0)
+        self.keys, self.contexts, self.here = [words.view(np.int64)], [words.view(np.int64)], [np.ones(len(words), bool)]
+        alive = ~once
+        for level in range(2, order + 1):
+            alive = back(alive) & ~once & (position >= level - 1)  # an n-gram with a word that isn't repeated isn't either
+            h = hashed(min(level, 3), longer(back(self.keys[-1]).view(np.uint64), words + np.uint64(level))).view(np.int64)
+            self.contexts.append(back(self.keys[-1]))
+            self.keys.append(np.where(both, pair, h) if level == 2 else h)
+            self.here.append(alive)
+
+    def level(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which occurrences, their keys, keys without the last word, keys without the first word) of n-grams of n words."""
+        use = np.flatnonzero(self.here[n - 1][self.own :])
+        return use, *(x[self.own :][use] for x in (self.keys[n - 1], self.contexts[n - 1], self.keys[n - 2]))
+
+
+def blocks(texts: pa.Array, known: Known, order: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, Block]]:
+    """(place, text numbers, places among the frequent words, whether other words may be repeated, block), STEP words at once.
+
+    A block begins with the `order` - 1 words before its place, which are only context.
     """
-    start = np.cumsum(sizes) - sizes
-    position = np.arange(len(codes)) - np.repeat(start, sizes)
+    hashes, codes, sizes = tokens(texts)
+    words = hashed(1, hashes)
+    place, maybe = known.look(words.view(np.int64))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    position = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     for a in range(0, len(codes), STEP):
         first = max(0, a - order + 1)
-        place = slice(a, min(a + STEP, len(codes)))
-        word = hashes[codes[first : place.stop]]
-        found = [word]
-        for _ in range(1, order):
-            found.append(longer(np.concatenate([[np.uint64(0)], found[-1][:-1]]), word))
-        yield place, position[first : place.stop], [g for g in found]
+        part = slice(a, min(a + STEP, len(codes)))
+        near = codes[first : part.stop]
+        yield part, owner[part], place[codes[part]], maybe[codes[part]], Block(words[near], place[near], (place[near] < 0) & ~maybe[near], position[first : part.stop], a - first, order)
 
 
-def counted(df: DataFrame, text: str, order: int) -> DataFrame:
-    """(level, gram, n): occurrences of all n-grams of 1 .. order words, one row each."""
+def word_counts(df: DataFrame) -> DataFrame:
+    """(key, n) of all words of `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                for place, position, found in grams(*tokens(part.column(text)), order):
-                    own = len(position) - (place.stop - place.start)
-                    for level, g in enumerate(found, 1):
-                        keys, n = np.unique(g[own:][position[own:] >= level - 1], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["level", "gram", "n"])
+            for part in slices(batch, "text"):
+                hashes, codes, _ = tokens(part.column("text"))
+                n = np.bincount(codes, minlength=len(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(hashed(1, hashes).view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return df.select(lowered(F.col(text)).alias(text)).mapInArrow(run, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class Known:
-    """What a task knows of the counts of one length: the frequent n-grams', and which others may be repeated."""
+def gram_counts(df: DataFrame, known: Known, order: int) -> DataFrame:
+    """(level, key, n, context, shorter) of n-grams of 2 .. order words that may be repeated; a pair of numbers has no context."""
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    names = ["level", "key", "n", "context", "shorter"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for *_, block in blocks(part.column("text"), shared.value, order):
+                    for level in range(2, order + 1):
+                        _, key, context, shorter = block.level(level)
+                        key, at, n = np.unique(key, return_index=True, return_counts=True)
+                        plain = (key >= 0) & (key >> 62 == 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(key), pa.array(n.astype(np.int64)), pa.array(context[at], mask=plain), pa.array(shorter[at], mask=plain)], names)
+
+    found = df.select("text").mapInArrow(run, "level int, key long, n long, context long, shorter long")
+    return found.groupBy("level", "key").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("shorter").alias("shorter"))
 
-    def __init__(self, table: DataFrame, total: int):
-        heavy = table.where(F.col("n") * HEAVY > total).select("gram", "n").toArrow()  # fewer than HEAVY rows
-        order = np.argsort(heavy.column("gram").to_numpy())
-        self.gram, self.n = heavy.column("gram").to_numpy()[order], heavy.column("n").to_numpy()[order]
-        at = F.col("gram").bitwiseAND(F.lit(BITS - 1))
-        rows = table.where("n > 1").groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # BITS / 8 bytes
-        self.bits = np.zeros((BITS >> 15, 4096), np.uint8)
-        for r in rows:
-            self.bits[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-        self.bits = self.bits.reshape(-1)
 
-    def counts(self, g: np.ndarray, absent: int) -> np.ndarray:
-        """Counts of n-grams: `absent` if surely not repeated, -1 if unknown."""
-        at = (g & np.uint64(BITS - 1)).astype(np.int64)
-        out = np.where(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1, -1, absent)
-        maybe = np.flatnonzero(out < 0)
-        if len(self.gram):
-            keys = g[maybe].view(np.int64)
-            k = np.minimum(np.searchsorted(self.gram, keys), len(self.gram) - 1)
-            out[maybe] = np.where(self.gram[k] == keys, self.n[k], -1)
-        return out
+def differences(counts: DataFrame, below: DataFrame, known: Known, total: int) -> DataFrame:
+    """(key, n, micro, hit) of repeated n-grams of one length: their scores (hit), and how much these exceed a step back.
 
+    `below` is the same table of n-grams one word shorter.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            key, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
+            hit = np.rint(np.log(n / words.n[key >> 31]) * MICRO).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(hit - PENALTY - words.micro[key & (1 << 31) - 1]), pa.array(hit)], ["key", "n", "micro", "hit"])
 
-def slots(order: int) -> list[tuple[int, int]]:
-    """(length, words back) of the n-grams whose counts a score may need: from the full length down, each with its context."""
-    return [x for n in range(order, 1, -1) for x in ((n, 0), (n - 1, 1))] + [(1, 0)]
+    plain = counts.where("context is null").select("key", "n").mapInArrow(run, "key long, n long, micro long, hit long")
+    context = below.select(F.col("key").alias("context"), F.col("n").alias("n_context"))
+    shorter = below.select(F.col("key").alias("shorter"), F.col("hit").alias("under"))
+    hit = F.round(F.log(F.col("n") / F.col("n_context")) * MICRO).cast("long")
+    other = counts.where("context is not null").join(context, "context").join(shorter, "shorter").select("key", "n", (hit - F.lit(PENALTY) - F.col("under")).alias("micro"), hit.alias("hit"))
+    return plain.unionByName(other)
 
 
-def looked_up(df: DataFrame, text: str, order: int, known: list[Known], total: int) -> DataFrame:
-    """A row for each text (n_words not null) with the sums of the scores that are known, and requests for counts.
+def requests(df: DataFrame, known: list[Known], order: int, once: int) -> DataFrame:
+    """(row, key, micro, said): of each text a row with what is known (said: number of words and steps back), and its requests.
 
-    An occurrence whose score needs one count or more gives a request row for each: the slot, the length and hash (`key`) to
-    look up. The counts v<k> of its other slots go with its first request; null is for a slot that isn't needed. `occ` tells
-    occurrences with several requests apart; it is 0 for one with a single request.
+    A request has a key only: of a word or longer n-gram that may be repeated. What is known takes such words as read once.
     """
     shared = df.sparkSession.sparkContext.broadcast(known)
-    places = slots(order)
-    names = ["row", "occ", "slot", "level", "key", "n_words", "micro", "backed", *(f"v{k}" for k in range(len(places)))]
-    penalty = round(float(np.log(ALPHA)) * MICRO)
+    names = ["row", "key", "micro", "said"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in batches:
-            for part in slices(batch, text):
-                hashes, codes, sizes = tokens(part.column(text))
-                micro, backed = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
+            for part in slices(batch, "text"):
                 rows = part.column("row").to_numpy()
-                of_words = tables[0].counts(hashes, 1)
-                for place, position, found in grams(hashes, codes, sizes, order):
-                    own = len(position) - (place.stop - place.start)
-                    counts = [of_words[codes[place.start - own : place.stop]], *(tables[k].counts(found[k], 0) for k in range(1, order))]
-                    score, steps = np.zeros(len(position), np.int64), np.zeros(len(position), np.int64)
-                    live, lost = np.ones(len(position), bool), np.zeros(len(position), bool)  # not decided; not known
-                    for level in range(order, 0, -1):
-                        n = counts[level - 1]
-                        here = live & (position >= level - 1)
-                        lost |= here & (n < 0)
-                        hit = here & (n > 0)
-                        below = np.full(len(n), total) if level == 1 else np.concatenate([[1], counts[level - 2][:-1]])
-                        score[hit] += np.rint(np.log(n[hit] / below[hit]) * MICRO).astype(np.int64)
-                        score[here & (n == 0)] += penalty
-                        steps[here & (n == 0)] += 1
-                        live &= ~(hit | lost)
-                    of = owner[place]
-                    score[lost], steps[lost] = 0, 0
-                    np.add.at(micro, of, score[own:])
-                    np.add.at(backed, of, steps[own:])
-                    left = np.flatnonzero(lost[own:]) + own
-                    if len(left):
-                        yield requests(rows[of[left - own]], left, position[left], counts, found, rows[of[left - own]] * 0 + place.start - own)
-                none = pa.nulls(len(sizes), pa.int64())
-                key = pa.array(longer(rows.astype(np.uint64), np.uint64(SEED)).view(np.int64))  # spreads the rows; length 0 meets nothing
-                zero = pa.array(np.zeros(len(sizes), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), zero, none, zero, key, *map(pa.array, (sizes.astype(np.int64), micro, backed)), *([none] * len(places))], names)
-
-    def requests(rows: np.ndarray, left: np.ndarray, position: np.ndarray, counts: list[np.ndarray], found: list[np.ndarray], base: np.ndarray) -> pa.RecordBatch:
-        needed, values, open_ = np.ones(len(left), bool), [], []
-        for level, back in places:
-            v = counts[level - 1][left - back]
-            use = needed & (position >= level - 1 + back)
-            if back:  # a context is needed if the longer n-gram isn't surely absent
-                use &= top != 0  # noqa: F821
-                needed = needed & ~(there & (top > 0))  # noqa: F821
-            else:
-                top, there = v, position >= level - 1  # noqa: F841
-            values.append((v, use & (v >= 0)))
-            open_.append(use & (v < 0))
-        several = sum(x.astype(np.int64) for x in open_) > 1
-        occ = np.where(several, base + left + 1, 0)
-        told, out = np.zeros(len(left), bool), []
-        for k, (level, back) in enumerate(places):
-            at = np.flatnonzero(open_[k])
-            if not len(at):
-                continue
-            first = ~told[at]
-            told[at] = True
-            full = lambda x, n=len(at): pa.array(np.full(n, x, np.int64))
-            none = pa.nulls(len(at), pa.int64())
-            carried = [pa.array(v[at], pa.int64(), mask=~(there_[at] & first)) for v, there_ in values]
-            out.append(pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(occ[at]), full(k), full(level), pa.array(found[level - 1][left[at] - back].view(np.int64)), none, none, none, *carried], names))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-
-    return df.select("row", lowered(F.col(text)).alias(text)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-def scored(v: list[Column], total: int) -> tuple[Column, Column]:
-    """Score and number of steps back, from the counts in all slots."""
-    score, steps = F.round(F.log(v[-1] / total) * MICRO).cast("long"), F.lit(0).cast("long")
-    penalty = F.round(F.log(F.lit(ALPHA)) * MICRO).cast("long")
-    for k in range(len(v) - 3, -1, -2):
-        hit = F.round(F.log(v[k] / v[k + 1]) * MICRO).cast("long")
-        score, steps = F.when(v[k] > 0, hit).when(v[k] == 0, score + penalty).otherwise(score), F.when(v[k] > 0, F.lit(0).cast("long")).when(v[k] == 0, steps + 1).otherwise(steps)
-    return score, steps
+                micro, steps, words = (np.zeros(len(rows), np.int64) for _ in range(3))
+                for _, owner, place, maybe, block in blocks(part.column("text"), tables[0], order):
+                    add = lambda to, of, x: np.add.at(to, of, x)
+                    behind = np.minimum(block.position, order - 1)
+                    own = np.full(len(place), once)
+                    if len(tables[0].key):
+                        own = np.where(place >= 0, tables[0].micro[place], own)
+                    add(micro, owner, own + behind * PENALTY)
+                    add(steps, owner, behind)
+                    add(words, owner, 1)
+                    asked = [(owner[maybe], block.keys[0][block.own :][maybe])]
+                    for level in range(2, order + 1):
+                        use, key, *_ = block.level(level)
+                        at, unsure = tables[level - 1].look(key)
+                        sure = at >= 0
+                        add(micro, owner[use[sure]], tables[level - 1].micro[at[sure]])
+                        add(steps, owner[use[sure]], -1)
+                        asked.append((owner[use[unsure]], key[unsure]))
+                    of, key = (np.concatenate(x) for x in zip(*asked, strict=True))
+                    none = pa.nulls(len(of), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[of]), pa.array(key), none, none], names)
+                key = longer(rows.view(np.uint64), np.uint64(SEED)).view(np.int64)  # spreads the rows
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(key), pa.array(micro), pa.array((words << 32) | steps)], names)
+
+    return df.mapInArrow(run, "row long, key long, micro long, said long")
 
 
 def lm_scores(df: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST) -> DataFrame:
@@ -223,28 +243,29 @@ def lm_scores(df: DataFrame, text: str = "text", order: int = ORDER, least: int
 
     The first words of a text are scored by the context there is. A null or empty text has no words and the score 0.0. The
     counts are those of all rows, repeated rows included. Every row gives one row; an empty table gives an empty one. Other
-    columns pass through, an input column with the name of a result is replaced. Words and n-grams are told apart by 64-bit
-    hashes. The count tables are written below the shared folder.
+    columns pass through, an input column with the name of a result is replaced. Words and n-grams are told apart by 62-bit
+    hashes. The tables are written below the shared folder.
     """
     if least < 2 or order < 1:
         raise ValueError("an order of 1 or more and a least count of 2 or more are needed")
     source, row = numbered(df)
-    slim = source.select(F.col(row).alias("row"), F.col(text).alias("__text"))
-    counts = store(counted(slim, "__text", order).where((F.col("level") == 1) | (F.col("n") >= least)), "lm-counts", "level")
-    table = lambda level: counts.where(F.col("level") == level).select("gram", "n")
-    total = table(1).agg(F.sum("n")).first()[0] or 1
-    wanted = looked_up(slim, "__text", order, [Known(table(k), total) for k in range(1, order + 1)], total)
-    light = counts.where(F.col("n") * HEAVY <= total).select(F.col("level").cast("long").alias("level"), F.col("gram").alias("key"), "n")
-    met = wanted.join(light, ["level", "key"], "left")
-    places = range(len(slots(order)))
-    v = [F.when(F.col("slot") == k, F.coalesce("n", F.lit(0))).otherwise(F.col(f"v{k}")) for k in places]
-    score, steps = scored(v, total)
-    # an occurrence with one request is scored at once and summed within the task; those with several are put together first
-    single = F.col("slot").isNotNull() & (F.col("occ") == 0)
-    parts = met.select("row", "occ", "n_words", F.when(single, score).otherwise(F.col("micro")).alias("micro"), F.when(single, steps).otherwise(F.col("backed")).alias("backed"), *(F.when(~single, x).alias(f"v{k}") for k, x in zip(places, v, strict=True)))
-    each = parts.groupBy("row", "occ").agg(F.max("n_words").alias("n_words"), F.sum("micro").alias("micro"), F.sum("backed").alias("backed"), *(F.max(f"v{k}").alias(f"v{k}") for k in places))
-    score, steps = scored([F.col(f"v{k}") for k in places], total)
-    split = F.col("occ") > 0
-    sums = each.select("row", "n_words", F.when(split, score).otherwise(F.col("micro")).alias("micro"), F.when(split, steps).otherwise(F.col("backed")).alias("backed")).groupBy("row").agg(F.max("n_words").alias("n_words"), F.sum("micro").alias("micro"), F.sum("backed").alias("n_backoffs"))
-    results = sums.select(F.col("row").alias(row), "n_words", "n_backoffs", (F.col("micro") / F.lit(float(MICRO))).alias("log_score"))
+    slim = source.select(F.col(row).alias("row"), lowered(F.col(text)).alias("text"))
+    words = store(word_counts(slim), "lm-words")
+    total = words.agg(F.sum("n")).first()[0] or 1
+    score = F.round(F.log(F.col("n") / total) * MICRO).cast("long")
+    tables = [words.select("key", "n", score.alias("micro"), score.alias("hit"))]
+    known = [Known(tables[0], total)]
+    if order > 1:
+        counts = store(gram_counts(slim, known[0], order).where(F.col("n") >= least), "lm-counts", "level")
+        for level in range(2, order + 1):
+            tables.append(store(differences(counts.where(F.col("level") == level), tables[-1], known[0], total), "lm-grams"))
+            known.append(Known(tables[-1], total))
+    once = round(math.log(1 / total) * MICRO)
+    more = [F.col("micro") - F.lit(once if k == 0 else 0) for k in range(order)]
+    light = [t.where((F.col("n") > 1) & (F.col("n") * HEAVY <= total)).select("key", more[k].alias("more"), F.lit(k > 0).alias("step")) for k, t in enumerate(tables)]
+    met = requests(slim, known, order, once).join(reduce(DataFrame.unionByName, light), "key", "left")
+    asked = F.col("said").isNull()
+    sums = met.groupBy("row").agg(F.max("said").alias("said"), F.sum(F.when(asked, F.coalesce("more", F.lit(0))).otherwise(F.col("micro"))).alias("micro"), F.count_if(asked & F.col("step")).alias("less"))
+    words_, steps = F.shiftright("said", 32), F.col("said").bitwiseAND(F.lit((1 << 32) - 1))
+    results = sums.select(F.col("row").alias(row), words_.alias("n_words"), (steps - F.col("less")).alias("n_backoffs"), (F.col("micro") / F.lit(float(MICRO))).alias("log_score"))
     return source.drop("n_words", "n_backoffs", "log_score").join(results, row, "left").drop(row)

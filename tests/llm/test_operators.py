@@ -170,8 +170,16 @@ def test_lm_scores_by_brute_force(docs):
 
 @pytest.mark.parametrize(("heavy", "order"), [(lm_score.HEAVY, 3), (4, 3), (4, 2), (0, 2), (0, 1)])
 def test_lm_scores_of_any_order_by_brute_force(spark, monkeypatch, heavy, order):
-    # fewer or no frequent n-grams: counts come from the join, one or several for an occurrence
+    # fewer or no frequent n-grams: counts come from the join; a full bitmap: every word and n-gram is asked for
     monkeypatch.setattr(lm_score, "HEAVY", heavy)
+    if not heavy:
+        made = lm_score.Known.__init__
+
+        def full(self, *a):
+            made(self, *a)
+            self.bits[:] = 255
+
+        monkeypatch.setattr(lm_score.Known, "__init__", full)
     rng = random.Random(order)
     split = [x.split() for x in ("a b c a b c", "a b c d", "x y z", "b c a b d", "", "a", "q a b c x y")]
     split += [[rng.choice("abcdefghijklmnopq") for _ in range(rng.randrange(40))] for _ in range(20)]
@@ -194,18 +202,24 @@ def test_lm_scores_of_any_order_by_brute_force(spark, monkeypatch, heavy, order)
         assert r["log_score"] == pytest.approx(sum(x for x, _ in w), abs=1e-3)
 
 
-def test_grams_in_blocks(monkeypatch):
-    import numpy as np
+def test_grams_in_blocks(spark, monkeypatch):
     import pyarrow as pa
 
-    texts = pa.array(["a b c", "", " d  e\tf g ", "a", None or ""])
-    whole = [(p.tolist(), [g.tolist() for g in found]) for _, p, found in lm_score.grams(*lm_score.tokens(texts), 3)]
+    texts = pa.array(["a b c", "", " d  e\tf g ", "a", "b c d e f g"])
+    known = lm_score.Known(spark.createDataFrame([], "key long, n long, micro long"), 1)
+    known.bits[:] = 255  # any word may be repeated
+
+    def found():
+        out = []
+        for part, owner, _, _, block in lm_score.blocks(texts, known, 3):
+            assert len(owner) == part.stop - part.start == len(block.position)
+            out += [(part.start + i, n, key, context, shorter) for n in (2, 3) for i, key, context, shorter in zip(*(x.tolist() for x in block.level(n)), strict=True)]
+        return sorted(out)
+
+    whole = found()
+    assert len(whole) == 2 + 3 + 5 + 1 + 2 + 4 and len({x[2] for x in whole}) == len(whole) - 6  # b c, d e, e f, f g, d e f, e f g are there twice
     monkeypatch.setattr(lm_score, "STEP", 3)
-    pieces = [(np.concatenate([p])[len(p) - (place.stop - place.start) :].tolist(), [g[len(p) - (place.stop - place.start) :].tolist() for g in found]) for place, p, found in lm_score.grams(*lm_score.tokens(texts), 3)]
-    assert len(whole) == 1 and whole[0][0] == [0, 1, 2, 0, 1, 2, 3, 0] == sum((p for p, _ in pieces), [])
-    for level in range(3):
-        joined = sum((g[level] for _, g in pieces), [])
-        assert [x for x, at in zip(joined, whole[0][0]) if at >= level] == [x for x, at in zip(whole[0][1][level], whole[0][0]) if at >= level]
+    assert found() == whole
 
 
 def test_html_extraction(spark):
