@@ -66,20 +66,9 @@ def brute_fingerprint(text):
 def test_simhash_components_by_brute_force(spark):
     rows = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
     prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
-    root = {k: k for k in prints}
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+    root = components_of(prints)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op2_simhash_near_dedup(spark, DIR).collect()}
-    assert got == {k: (f"{p:016x}", find(k)) for k, p in prints.items()}
+    assert got == {k: (f"{p:016x}", root[k]) for k, p in prints.items()}
 
 
 def test_simhash_large_group_links_like_pairs(spark):
@@ -378,10 +367,102 @@ def test_decontamination_proximity_by_brute_force(spark, slop):
     assert [(r["n_hit"], r["items"]) for r in got] == want and any(x[0] for x in want)
 
 
-def test_pipeline_keeps_what_each_stage_keeps(spark):
+def components_of(prints):
+    """The least key reachable over links of two or fewer bits, by comparing all pairs."""
+    root = {k: k for k in prints}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in prints}
+
+
+def plain_quality(text):
+    import re
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    windows = Counter(tuple(words[i : i + 5]) for i in range(n - 4))
+    repeated = len({i + k for i in range(n - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)})
+    if n < 10 or 100 * repeated > 20 * n:
+        return False
+    chars, symbols = sum(map(len, words)), sum(c in "#*$%&|<>" for c in text)
+    stop = sum(w.lower() in quality.STOP_WORDS for w in words)
+    echo = sum(a == b for a, b in zip(words, words[1:]))
+    shout = sum(len(w) > 1 and w == w.upper() and w != w.lower() for w in words)
+    bullets, dots = sum(bool(re.match(r"\s*[-*\u2022]\s", x)) for x in lines), sum(bool(re.search(r"(\.\.\.|\u2026)\s*$", x)) for x in lines)
+    over = [chars < 2 * n, chars > 16 * n, symbols > 0.25 * n, n >= 50 and stop < 0.02 * n, echo > 0.3 * n, shout > 0.6 * n]
+    return not any(over) and not any((len(lines) - len({*lines}) > 0.5 * len(lines), bullets > 0.9 * len(lines), dots > 0.3 * len(lines)))
+
+
+def plain_words(text):
+    import re
+
+    low = (text or "").translate(str.maketrans(decontaminate.UPPER, decontaminate.LOWER))
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) if w]
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage against a plain reading of what its predecessor kept; the language stage against its own predictions."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    items = [plain_words(r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 8]) for w in items if w for i in range(max(len(w) - 7, 1))}
+    sizes = {len(w) for w in windows}
+    tok = Tokenizer.from_file(VOCABULARY)
+    dropped = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, docs, DIR)
+        assert now.columns == docs.columns
+        if name == "quality rules":
+            want = {k: x for k, x in kept.items() if plain_quality(x)}
+        elif name == "language id":
+            model = language.train(docs)
+            sure = {k for k, x in kept.items() for lang, score in [model.predict(x)] if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+            want = {k: x for k, x in kept.items() if k in sure}
+        elif name == "simhash near-dedup":
+            want = {k: kept[k] for k in {*components_of({k: brute_fingerprint(x) for k, x in kept.items()}).values()}}
+        else:
+            split = {k: plain_words(x) for k, x in kept.items()}
+            hit = {k for k, w in split.items() for n in sizes if any(tuple(w[i : i + n]) in windows for i in range(len(w) - n + 1))}
+            want = {k: x for k, x in kept.items() if k not in hit}
+        docs = now
+        assert {r["doc_id"]: r["text"] for r in docs.collect()} == want
+        dropped[name], kept = len(kept) - len(want), want
+    assert dropped["quality rules"] and dropped["simhash near-dedup"] and dropped["benchmark decontamination"]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    coded = {k: tok.encode(x or "", add_special_tokens=False).ids for k, x in kept.items()}
+    want = {(k, len(ids), sha(",".join(map(str, ids)).encode()), sha(tok.decode(ids, skip_special_tokens=False).encode())) for k, ids in coded.items()}
+    assert {tuple(r) for r in corpus_pipeline.run(spark, DIR).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()} == want
+
+
+def test_pipeline_drops_planted_passages_and_copies(spark, tmp_path):
     import corpus_pipeline
 
-    found = corpus_pipeline.run(spark, DIR)
-    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    total = spark.read.parquet(f"{DIR}/documents.parquet").count()
-    assert 0 < found.count() < total
+    rng = random.Random(5)
+    vocabulary = "the of and to in is that it for on was with as by this are from or river stone house garden winter paper letter bridge market window doctor teacher music yellow silver river morning evening travel answer question number people water fire forest mountain".split()
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)).capitalize() + "."
+    items = [(k, text(20)) for k in range(4)]
+    clean = [text(60) for _ in range(6)]
+    rows = [(k, x) for k, x in enumerate(clean)]
+    rows += [(10, text(30) + " " + items[0][1][:-1] + " " + text(30)), (11, clean[0]), (12, None), (13, ""), (14, "|"), (0, clean[0]), (None, text(50))]
+    at = str(tmp_path)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    for name, part in (("full", rows), ("none", [])):
+        (tmp_path / name).mkdir()
+        docs = spark.createDataFrame([(k, x, "en", "s", len(x or "")) for k, x in part], "doc_id long, text string, lang string, source string, n_chars long")
+        docs.write.parquet(f"{at}/{name}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/{name}/benchmark.parquet")
+        found = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.run(spark, f"{at}/{name}").collect())
+        assert found == ([(False, k) for k in range(6)] + [(True, 0)] if part else [])
