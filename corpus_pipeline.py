@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidenta.llm import bpe, decontaminate, language, quality, simhash
-from evidenta.llm.common import read, scratch
+from evidenta.llm.common import fresh, numbered, read, scratch
 
 #: A language is accepted from this score on.
 LEAST_SCORE = 0.52
@@ -34,15 +34,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest doc_id stays (of equal ones the first)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text")
-    found = simhash.near_duplicates(rows, component="__component")
-    first = found.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(first, "__row", "left_semi").select(*docs.columns)
+    source, row = numbered(docs)
+    component = fresh(source, "__component")
+    found = simhash.near_duplicates(source.select(row, "doc_id", "text"), component=component)
+    first = found.groupBy(component).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("m")).select(F.col(f"m.{row}").alias(row))
+    return source.join(first, row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go."""
-    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    """Documents in which any window of a benchmark item occurs go."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
