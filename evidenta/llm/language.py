@@ -9,12 +9,12 @@ hash of their key, each giving its distinct trigrams.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +36,13 @@ PER_LANGUAGE = 600
 #: Leading bits of a key's hash by which labelled rows are counted before they are ranked.
 BUCKET_BITS = 10
 DIMS = 64**3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: How fast a decision's score goes from 0.5 to 1 with the mean weight of a trigram, in units of its spread in training.
 STEEPNESS = 3.0
 STEP = 1 << 20
+#: The weights of all machines take so many bytes at most; with many languages, trigrams share weights to keep within it.
+MODEL_BYTES = 64 << 20
+LEAST_DIMS = 1 << 10
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -56,9 +59,19 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
         yield code[(c[1:-1] != 0)]  # its middle is a letter
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, cost: float = 1.0) -> tuple[np.ndarray, float]:
+def dims_of(machines: int) -> int:
+    """Weights of a machine: a power of two, at most DIMS, by which all machines stay within MODEL_BYTES."""
+    dims = DIMS
+    while 4 * dims * machines > MODEL_BYTES:
+        dims //= 2
+    if dims < LEAST_DIMS:
+        raise ValueError(f"{machines} machines don't fit into {MODEL_BYTES} bytes: too many languages")
+    return dims
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int = DIMS, rounds: int = 12, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights of a linear support vector machine by dual coordinate descent, and the spread of its mean weights."""
-    w, alpha = np.zeros(DIMS), np.zeros(len(rows))
+    w, alpha = np.zeros(dims), np.zeros(len(rows))
     xs = [(i, v / np.sqrt((v * v).sum())) for i, v in rows]
     order = np.random.default_rng(0)
     for _ in range(rounds):
@@ -82,14 +95,16 @@ class Model:
             groups.setdefault(FAMILY.get(lang, "only " + lang), []).append(lang)
         self.groups = groups
         of = {lang: family for family, own in groups.items() for lang in own}
+        self.dims = dims_of(math.comb(len(groups), 2) + sum(math.comb(len(own), 2) for own in groups.values()))
+        if self.dims < DIMS:
+            rows = [(lang, np.unique(i % self.dims), np.bincount(i % self.dims, v, self.dims)[np.unique(i % self.dims)]) for lang, i, v in rows]
         self.family = {(a, b): self._pair(rows, lambda r, a=a, b=b: (of[r] == a) - (of[r] == b)) for a, b in combinations(sorted(groups), 2)}
         self.within = {own_family: {(a, b): self._pair(rows, lambda r, a=a, b=b: (r == a) - (r == b)) for a, b in combinations(own, 2)} for own_family, own in groups.items()}
 
-    @staticmethod
-    def _pair(rows, side) -> tuple[np.ndarray, float]:
+    def _pair(self, rows, side) -> tuple[np.ndarray, float]:
         own = [(i, v.astype(np.float64), side(lang)) for lang, i, v in rows]
         own = [x for x in own if x[2]]
-        return fit([x[:2] for x in own], np.array([x[2] for x in own], np.float64))
+        return fit([x[:2] for x in own], np.array([x[2] for x in own], np.float64), self.dims)
 
     @staticmethod
     def _vote(names: list[str], machines: dict, codes: list[np.ndarray], n: int) -> tuple[str, float]:
@@ -108,7 +123,7 @@ class Model:
         """(language, score); `und` and 0 if there is no letter. The score is the weaker of the two decisions'."""
         if not text or not LETTER.search(text) or not self.groups:
             return "und", 0.0
-        codes = [c for c in trigrams(text) if len(c)]
+        codes = [c % self.dims for c in trigrams(text) if len(c)]
         n = sum(map(len, codes))
         if not n:
             return "und", 0.0
@@ -118,7 +133,11 @@ class Model:
 
 
 def train(df: DataFrame, where=None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit the machines on labelled rows of `df` (those that `where` allows); rows with a null text, key or language are left out."""
+    """Fit the machines on labelled rows of `df` (those that `where` allows); rows with a null text, key or language are left out.
+
+    An empty table, or one without a label, gives a model that knows no language. Rows that repeat a key count as one draw and
+    all enter the fit; equal texts under different keys are rows of their own. Of tied votes, the first name in order wins.
+    """
     known = df.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
     known = known if where is None else known.where(where)
     ids = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("hash")).withColumn("bucket", F.shiftright("hash", 64 - BUCKET_BITS))
@@ -154,7 +173,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     source = df.withColumnRenamed(text, "__text") if text in names else df
     column = "__text" if text in names else text
     kept = [f for f in source.schema.fields if f.name not in names and f.name != "__text"]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a few MB: DIMS weights for each pair of languages of a family
+    shared = df.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = shared.value

@@ -5,7 +5,8 @@ tokens of two neighbouring chunks are spliced at a common boundary that is prove
 where both begin a new pre-token, `MARGIN` characters or more away from either chunk's cut ends. Pre-tokenization runs from
 left to right without look-behind and merges never cross pre-tokens, so after such a position the right chunk's tokens are
 those of the whole text, and before it the left chunk's are. If there is no common boundary, the overlap is doubled, at last
-up to the left chunk's own start, in which case both are encoded as one.
+up to the left chunk's own start; then both are encoded as one, which reaches twice as far each time, so that a run without
+any boundary costs a small multiple of its length.
 """
 
 from __future__ import annotations
@@ -67,16 +68,18 @@ class Counter:
 
     def spliced(self, text: str) -> Iterator[list[int]]:
         """Ids of a whole text, in pieces."""
-        n, start, end = len(text), 0, min(len(text), self.chunk)
+        n, start, end, step = len(text), 0, min(len(text), self.chunk), self.chunk - self.overlap
         ids, begins = self.encoded(text, start, end)
         while end < n:
-            overlap = self.overlap
+            # no overlap is of use that doesn't reach back beyond the left chunk's last boundary
+            last = max((p for p in begins if p <= end - MARGIN), default=start)
+            overlap = max(self.overlap, end - last + 2 * MARGIN)
             while True:
-                back = max(start, end - overlap)
-                further = min(n, end + self.chunk - self.overlap)
+                back = max(start, end - overlap) if last > start else start
+                further = min(n, end + step)
                 if back == start:  # no stable boundary anywhere: both as one
                     ids, begins = self.encoded(text, start, further)
-                    end = further
+                    end, step = further, 2 * step
                     break
                 new_ids, new_begins = self.encoded(text, back, further)
                 at = max((p for p in begins.keys() & new_begins.keys() if back + MARGIN <= p <= end - MARGIN), default=None)
@@ -85,7 +88,7 @@ class Counter:
                     first = new_begins[at]
                     ids = new_ids[first:]
                     begins = {p: k - first for p, k in new_begins.items() if p >= at}
-                    start, end = at, further
+                    start, end, step = at, further, self.chunk - self.overlap
                     break
                 overlap *= 2
         yield ids
@@ -96,7 +99,7 @@ def load(path: str, chunk_chars: int, overlap: int) -> Counter:
     return Counter(path, chunk_chars, overlap)
 
 
-def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512, chunk_chars: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
+def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512, chunk_chars: int = 1 << 14, overlap: int = 1 << 9) -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of `text` to every row.
 
     Counts are those of the whole text, without added begin or end tokens. A null text counts as empty (0 bytes, 0 tokens).

@@ -56,6 +56,47 @@ def test_token_counts_and_bpe_equal_the_library(docs):
         assert coded[k]["decoded_sha256"] == sha(tok.decode(ids, skip_special_tokens=False).encode())
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_whole_tables_equal_the_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    at = f"/root/testdata/sf{sf}"
+    tok = Tokenizer.from_file(VOCABULARY)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    assert max(map(len, texts.values())) > 1 << 14  # some are spliced
+    ids = dict(zip(texts, (e.ids for e in tok.encode_batch(list(texts.values()), add_special_tokens=False)), strict=True))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert {tuple(r) for r in queries.op3_token_counts(spark, at).collect()} == {(k, len(texts[k].encode()), len(x), len(x) > 512) for k, x in ids.items()}
+    assert {tuple(r) for r in queries.op10_bpe_round_trip(spark, at).collect()} == {(k, len(x), sha(",".join(map(str, x)).encode()), sha(tok.decode(x, skip_special_tokens=False).encode())) for k, x in ids.items()}
+
+
+def test_very_long_texts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(1)
+    words = "".join(rng.choice(["the ", "Straße ", "x1 ", "  ", "\n", "I'm ", "北京", "🙂 ", "<|endoftext|>", "0.25,"]) for _ in range(150000))
+    texts = [words, "ab" * 100000, " " * 70000 + "x", "a" * 40000 + " " + "b" * 40000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [r["n_tokens"] for r in token_counts.token_counts(docs, VOCABULARY).orderBy("doc_id").collect()] == want
+    first = docs.limit(1)
+    ids = tok.encode(words, add_special_tokens=False).ids
+    r = bpe.bpe_round_trip(first, VOCABULARY).first()
+    assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_a_run_without_boundaries_is_encoded_in_linear_time():
+    counter = token_counts.load(VOCABULARY, 1 << 10, 1 << 8)
+    asked, encoded = [], counter.encoded
+    counter.encoded = lambda text, a, b: asked.append(b - a) or encoded(text, a, b)
+    try:
+        n = sum(map(len, counter.spliced("a" * 100000)))
+    finally:
+        del counter.encoded
+    assert n == len(encoded("a" * 100000, 0, 100000)[0]) and sum(asked) < 4 * 100000
+
+
 def brute_fingerprint(text):
     words = [w for w in (text or "").encode().lower().split()]
     grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [b" ".join(words)] if words else []
@@ -101,6 +142,24 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_letters_clashes_and_many_labels(spark, monkeypatch):
+    rows = [(k, ("der die das und nicht " if k % 2 else "the and of with that ") * 9, "de" if k % 2 else "en", "mine", 7.0) for k in range(40)]
+    rows += [(None, "no key here", "en", "mine", 7.0), (41, None, "en", "mine", 7.0), (42, "² ½ ③ 12", "en", "mine", 7.0), (42, "² ½ ③ 12", "en", "mine", 7.0), (43, "der die das und nicht " * 300000, None, "mine", 7.0), (44, "", "de", "x", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language.train(df)
+    got = language.identify(df, model).collect()
+    assert df.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and len(got) == len(rows)
+    by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
+    assert all(by[k][0] == ("de" if k % 2 else "en") for k in range(40)) and by[43][0] == "de"
+    assert by[41] == by[42] == by[44] == ("und", 0.0)
+    monkeypatch.setattr(language, "MODEL_BYTES", 4 << 14)
+    small = language.train(df)
+    assert small.dims == 1 << 14 and small.predict(rows[0][1])[0] == "en" and small.predict(rows[1][1])[0] == "de"
+    monkeypatch.setattr(language, "MODEL_BYTES", 4 << 9)
+    with pytest.raises(ValueError, match="too many languages"):
+        language.train(df)
+
+
 def test_language_without_letters_or_labels(docs):
     model = language.train(docs.where("false"))
     assert {(r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()} == {("und", 0.0)}
