@@ -1,19 +1,21 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
 Documents with one fingerprint are one node, so exact copies cost one row each. Two fingerprints that differ in at most two
-bits agree on at least one of three bit blocks (pigeonhole); pairs inside a block group are compared through the pivot table:
-the Hamming distances of each fingerprint to PIVOTS fixed reference fingerprints differ by at most two for such a pair, so a
-pair with a larger coordinate difference is discarded, and the survivors are verified bit by bit.
-
-A block group of more than GROUP fingerprints (clusters of near copies, or any group once the input is large) isn't paired:
-each of its fingerprints sends itself and its 64 one-bit neighbours as keys. Two fingerprints differ in at most two bits if
-and only if they share such a key, and no key has more than 65 fingerprints, whatever the input. Linking each to the least of
-its key gives the same components with 65 rows a fingerprint instead of a number of pairs that grows as a square.
+bits agree on at least two of four blocks of 16 bits (pigeonhole), so they meet in one of six groups by 32 equal bits, however
+many fingerprints there are: a group of chance holds one fingerprint in 2**32. Pairs inside a group are compared through the
+pivot table: the Hamming distances of each fingerprint to PIVOTS fixed reference fingerprints differ by at most two for such a
+pair, so a pair with a larger coordinate difference is discarded, and the survivors are verified bit by bit.
+
+Groups of more than GROUP fingerprints are families of near copies (chance gives such groups only from about 2 * 10**11
+distinct fingerprints on). They aren't paired, since pairs grow as a square: each fingerprint sends itself and its 64 one-bit
+neighbours as keys. Two fingerprints differ in at most two bits if and only if they share such a key, and no key has more
+than 65 fingerprints. Linking each to the least of its key gives the same components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidenta.llm.common import materialise, slices
-from evidenta.llm.components import components
+from evidenta.llm.components import components, hub_join
 
 SEED = 42
 SHINGLE = 3
 BITS = 2
-#: (shift, width) of the three bit blocks.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Masks of the pairs of 16-bit blocks.
+BLOCKS = tuple((0xFFFF << 16 * i) | (0xFFFF << 16 * j) for i, j in combinations(range(4), 2))
 #: Reference fingerprints: hashes of their numbers, fixed for all time.
 PIVOTS = tuple(int(np.uint64(xxhash.xxh64_intdigest(str(k), seed=SEED)).astype(np.int64)) for k in range(16))
 #: Fingerprints of a block group up to which pairs are formed.
@@ -80,7 +82,8 @@ def links(prints: DataFrame, fp: str = "fp", node: str = "node") -> DataFrame:
     """
     coords = F.array(*(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in PIVOTS))
     table = prints.select(F.col(fp).alias("fp"), F.col(node).alias("node")).withColumn("pivots", coords)
-    key = F.posexplode(F.array(*(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in BLOCKS))).alias("block", "value")
+    signed = lambda x: x if x < 1 << 63 else x - (1 << 64)
+    key = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in BLOCKS))).alias("block", "value")
     keyed = table.select("fp", "node", "pivots", key)
     sizes = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
     keyed = keyed.join(sizes, ["block", "value"])
@@ -106,13 +109,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", comp
 
     Null and empty texts have fingerprint zero and are linked like any other, as are rows whose key is null; a component without
     any key is named null, so `component` may name a further column, the component's least fingerprint. Repeated rows are rows of one component. An empty table gives an
-    empty result; other columns pass through.
+    empty result; other columns pass through, input columns with the names of results are replaced.
     """
-    prints = materialise(fingerprints(df, text, "simhash").drop(text)) if text != key else materialise(fingerprints(df, text, "simhash"))
-    nodes = prints.groupBy("simhash").agg(F.min(key).alias("node"))
+    source = df.drop("component_id", *([component] if component else []))
+    prints = fingerprints(source, text, "simhash")
+    prints = materialise(prints.drop(text) if text != key else prints)
+    nodes = materialise(prints.groupBy("simhash").agg(F.min(key).alias("node"), F.count("*").alias("n")))
     # a fingerprint is its own node, so that those without a key take part
     found = components(links(nodes.select(F.col("simhash").alias("fp"), F.col("simhash").alias("node"))))
     joined = nodes.join(found.select(F.col("node").alias("simhash"), "component"), "simhash", "left").withColumn("component", F.coalesce("component", "simhash"))
-    named = joined.groupBy("component").agg(F.min("node").alias("component_id"))
-    mapped = joined.join(named, "component").select(F.col("simhash").alias("__fp"), "component_id", *([F.col("component").alias(component)] if component else []))
-    return prints.join(mapped, prints["simhash"] == mapped["__fp"], "left").drop("__fp")
+    named = joined.groupBy("component").agg(F.min("node").alias("component_id"), F.count("*").alias("n_nodes"))
+    total = named.agg(F.sum("n_nodes")).first()[0] or 0
+    mapped = hub_join(joined, named.withColumnRenamed("n_nodes", "n_rows"), "component", "n_rows", total)
+    mapped = materialise(mapped.select("simhash", "n", "component_id", *([F.col("component").alias(component)] if component else [])))
+    return hub_join(prints, mapped, "simhash", "n", mapped.agg(F.sum("n")).first()[0] or 0)

@@ -122,6 +122,33 @@ def test_simhash_large_group_links_like_pairs(spark):
     assert {r["component"] for r in found} == {0} and len(found) == len(prints) - 1  # the smallest node has no row
 
 
+@pytest.mark.parametrize("hubs", [1 << 12, 1, 10**9])
+def test_components_of_hubs_paths_and_loops(spark, monkeypatch, hubs):
+    from evidenta.llm import components as C
+
+    monkeypatch.setattr(C, "HUBS", hubs)
+    edges = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(50)] + [(5000, 5000), (2001, 2000), (2000, 2001), (2002, 2000)]
+    found = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{k: 0 for k in range(1, 400)}, **{k: 1000 for k in range(1001, 1051)}, 2001: 2000, 2002: 2000}
+    assert C.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_simhash_blocks_pairs_and_clashing_names(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    prints = [*base, *(b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base[:60]), *(b ^ 0b111 for b in base[60:80])]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    from evidenta.llm.components import components
+
+    found = {r["node"]: r["component"] for r in components(simhash.links(spark.createDataFrame([(signed(p), k) for k, p in enumerate(prints)], "fp long, node long"))).collect()}
+    want = components_of(dict(enumerate(prints)))
+    assert found == {k: c for k, c in want.items() if c != k}
+    rows = spark.createDataFrame([("b", "x y z", 1), ("a", "x y z", 2), (None, None, 3), ("c", "", 4)], "doc_id string, text string, component_id int")
+    got = simhash.near_duplicates(rows.withColumn("simhash", F.lit("mine")))
+    assert sorted(got.columns) == ["component_id", "doc_id", "simhash"]
+    assert sorted((r["doc_id"] or "", r["component_id"]) for r in got.collect()) == [("", "c"), ("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_simhash_rows_without_a_key_link(spark, monkeypatch):
     prints = {"a": 0b1, "b": 0b111, "c": 0b11111, "far": -1, "near": -4}  # a and c are linked by b alone
     monkeypatch.setattr(simhash, "fingerprints", lambda df, text, name: df.withColumn(name, F.element_at(F.create_map(*(F.lit(x) for p in prints.items() for x in p)), F.col(text)).cast("long")))
