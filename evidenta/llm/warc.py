@@ -6,8 +6,13 @@ code, checksum, location, offset and file name come before the length). Every re
 and a newline. The converter reads the version block first, then takes records by declared lengths only, so payloads may hold
 lines that look like headers.
 
-Files are written by Spark's text writer with gzip, one record per row, in groups of about FILE_BYTES, so the commit protocol covers
-them and a lost executor leaves none behind. Readers take one file per row.
+Header lines are taken apart from both ends, so a URL or content type may hold blanks. Bytes where a header line should be but
+none is, and a last record that ends before its declared length, are damage: each such stretch becomes a record of its own, of
+status `damaged` and without a URL, up to the next header line. Nothing is dropped. `parse_arc` raises instead if asked to.
+
+Records are bytes from end to end: they travel in binary columns and are written as they are by Spark's text writer with
+gzip, one record per row, in files of about FILE_BYTES, so the commit protocol covers them and a lost executor leaves none
+behind. Readers take one file per row.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,13 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidenta.llm.common import slices
+from evidenta.llm.common import slices, store
+from evidenta.llm.components import hub_join
 
 #: A file is closed at about so many bytes (a single record may be longer).
 FILE_BYTES = 4 << 20
 #: Fields of header lines by ARC version, and the WARC profile of revisits.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Header lines of both versions.
+LINES = {
+    1: re.compile(rb"(?P<url>[^\n]*?) (?P<ip>[^ \n]+) (?P<date>\d{4,14}) (?P<mime>[^\n]*) (?P<length>\d+)\r?\n"),
+    2: re.compile(rb"(?P<url>[^\n]*?) (?P<ip>[^ \n]+) (?P<date>\d{4,14}) (?P<mime>[^\n]*) (?P<status>[^ \n]+) [^ \n]+ [^ \n]+ \d+ [^ \n]+ (?P<length>\d+)\r?\n"),
+}
+DAMAGED = "damaged"
+#: What is to be known of the copies, by file, is broadcast up to so many bytes by its measured size.
+BROADCAST_BYTES = 32 << 20
 DATE = "20240101000000"
 KEY = b"x-archive-key"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -84,32 +99,37 @@ def http_parts(block: bytes) -> tuple[dict[bytes, bytes], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in lines}, body
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file, the version block first; ValueError if it is no ARC file or a declared length isn't met."""
-    at, names = 0, FIELDS[1].split()
+def parse_arc(data: bytes, strict: bool = False) -> Iterator[ArcRecord]:
+    """Records of an ARC file, the version block first; damage is a record of its own, or a ValueError if `strict`.
+
+    Without a version block, lines are taken for those of version 1.
+    """
+    at, line = 0, LINES[1]
     while at < len(data):
         if data[at] in b"\r\n":
             at += 1
             continue
-        end = data.find(b"\n", at)
-        values = data[at : end if end >= 0 else len(data)].decode("latin-1").rstrip("\r").split(" ")
-        first = at == 0
-        if first:
-            names = FIELDS[2 if len(values) == 10 else 1].split()
-        if end < 0 or len(values) != len(names) or not values[-1].isdigit() or first != values[0].startswith("filedesc:"):
-            raise ValueError(f"no header line at byte {at}")
-        length = int(values[-1])
-        block = data[end + 1 : end + 1 + length]
-        if len(block) < length:
-            raise ValueError(f"the record at byte {at} ends early")
-        if first:
-            says, _, fields = block.partition(b"\n")
-            names = fields.split(b"\n")[0].decode("latin-1").split()
-            if int(says.split(b" ")[0]) not in FIELDS or len(names) != len(values):
-                raise ValueError("unknown version block")
-        by = dict(zip(names, values, strict=True))
-        yield ArcRecord(by["URL"], by["IP-address"], by["Archive-date"], by["Content-type"], by.get("Result-code", "-"), at, block)
-        at = end + 1 + length
+        found = (LINES[2].match(data, at) or LINES[1].match(data, at)) if at == 0 else line.match(data, at)
+        length = int(found["length"]) if found else 0
+        if found and found.end() + length <= len(data):
+            block = data[found.end() : found.end() + length]
+            by = {k: v.decode("latin-1") for k, v in found.groupdict().items()}
+            if at == 0:
+                line = LINES[2] if block.startswith(b"2") else LINES[1]
+                if strict and not (by["url"].startswith("filedesc:") and block[:1] in b"12"):
+                    raise ValueError("no version block")
+            yield ArcRecord(by["url"], by["ip"], by["date"], by["mime"], by.get("status", "-"), at, block)
+            at = found.end() + length
+            continue
+        if strict:
+            raise ValueError(f"the record at byte {at} ends early" if found else f"no header line at byte {at}")
+        # on to the next line that is a header and whose record the file holds
+        end = data.find(b"\n", at) + 1
+        while 0 < end < len(data) and not ((m := line.match(data, end)) and m.end() + int(m["length"]) <= len(data)):
+            end = data.find(b"\n", end) + 1
+        end = end if 0 < end < len(data) else len(data)
+        yield ArcRecord("-", "0.0.0.0", DATE, "application/octet-stream", DAMAGED, at, data[at:end])
+        at = end
 
 
 def record_id(archive: str, offset: int) -> str:
@@ -126,7 +146,7 @@ def warc_date(date: str) -> str:
 def warc_record(kind: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
     """A WARC record without the last of the two line ends behind it."""
     lines = [("WARC-Type", kind), *fields, ("WARC-Block-Digest", f"sha1:{sha1(block)}"), ("Content-Length", len(block))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines if v is not None).encode() + b"\r\n" + block + b"\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines if v is not None).encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n"
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,7 +157,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 1
             continue
         end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
@@ -151,7 +171,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _write(rows: DataFrame, path: str, line_end: str) -> None:
     """Write (file, seq, value) rows, in order within a file."""
-    rows.sortWithinPartitions("file", "seq").select("file", "value").write.partitionBy("file").option("lineSep", line_end).option("compression", "gzip").text(path)
+    # the bytes as they are: the writer doesn't look at a string's encoding
+    rows.sortWithinPartitions("file", "seq").select("file", F.col("value").cast("string")).write.partitionBy("file").option("lineSep", line_end).option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -160,8 +181,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arc(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 1) -> None:
-    """Write ARC files with a record per row; a null payload is empty."""
-    source = df.select(F.col(key).cast("string").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
+    """Write ARC files with a record per row; the payload is a text (as UTF-8) or bytes, and empty if null."""
+    source = df.select(F.col(key).cast("string").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, size = 0, 0
@@ -171,35 +192,42 @@ def write_arc(df: DataFrame, path: str, key: str = "page_id", url: str = "url",
                 for k, u, p in zip(*(part.column(c).to_pylist() for c in ("key", "url", "payload")), strict=True):
                     if not out and not size or size > FILE_BYTES:
                         no, size = no + 1, 0
-                        out.append((no, 0, version_block(version, str(no)).decode()))
-                    r = arc_record(version, u, http_block(k, p.encode())).decode()
+                        out.append((no, 0, version_block(version, str(no))))
+                    r = arc_record(version, u, http_block(k, p))
                     size += len(p) + 1
                     out.append((no, size, r))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["file", "seq", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["file", "seq", "value"])
+
+    _write(source.mapInArrow(run, "file int, seq long, value binary"), path, "\n")
 
-    _write(source.mapInArrow(run, "file int, seq long, value string"), path, "\n")
+
+def _arc_rows(name: str, content: bytes) -> Iterator[dict]:
+    """What read_arc gives of each captured record of one file."""
+    for r in parse_arc(gzip.decompress(content)):
+        if r.url.startswith("filedesc:"):
+            continue
+        head, body = http_parts(r.block)
+        key = head.get(KEY)
+        yield {"id": record_id(name, r.offset), "key": key and key.decode("latin-1"), "url": r.url, "date": warc_date(r.date), "mime": r.mime, "status": r.status, "digest": sha1(body), "payload_bytes": len(body), "block": r.block}
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """(id, key, url, date, mime, digest, payload_bytes, block) of every captured record of the ARC files below a path."""
+def read_arc(spark: SparkSession, path: str, block: bool = True) -> DataFrame:
+    """(file, id, key, url, date, mime, status, digest, payload_bytes, block) of every captured record of the ARC files below a path.
+
+    The column `block` can be left out.
+    """
+    names = ["file", "id", "key", "url", "date", "mime", "status", "digest", "payload_bytes", *(["block"] * block)]
+    kinds = {"payload_bytes": "long", "block": "binary"}
+    schema = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(kinds.get(n), pa.string())) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
-                rows = []
-                for r in parse_arc(gzip.decompress(content.as_py())):
-                    if r.url.startswith("filedesc:"):
-                        continue
-                    head, body = http_parts(r.block)
-                    key = head.get(KEY)
-                    rows.append({"id": record_id(name.as_py(), r.offset), "key": key and key.decode(), "url": r.url, "date": warc_date(r.date), "mime": r.mime, "digest": sha1(body), "payload_bytes": len(body), "block": r.block})
+                rows = [{k: v for k, v in ({"file": name.as_py()} | r).items() if k in names} for r in _arc_rows(name.as_py(), content.as_py())]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
-
-    return _files(spark, path).mapInArrow(run, "id string, key string, url string, date string, mime string, digest string, payload_bytes long, block binary")
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
-
-SCHEMA = pa.schema([("id", pa.string()), ("key", pa.string()), ("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
+    return _files(spark, path).mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
 def convert(spark: SparkSession, arc: str, path: str) -> None:
@@ -208,22 +236,30 @@ def convert(spark: SparkSession, arc: str, path: str) -> None:
     Of records with equal payloads the one with the largest numeric key (of equal ones the largest identifier; null is least)
     is a response (a resource, if it isn't HTTP), the others are revisits that refer to it. Identifiers follow from archive and
     offset, dates from the header line, digests from the payload.
+
+    The roles are worked out on rows without payloads. What the copies refer to is gathered by file, and the files are read
+    once more beside it, so that no payload is shuffled (beyond BROADCAST_BYTES of references, whole compressed files are).
     """
-    records = read_arc(spark, arc)
-    order = F.struct(F.col("key").cast("long").alias("n"), F.col("id").alias("id"), F.col("url").alias("url"), F.col("date").alias("date"))
-    # only digests that repeat are joined, by a small row each; the hot ones are few
-    first = records.groupBy("digest").agg(F.max(order).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    marked = records.join(first, "digest", "left")
-    is_copy = F.col("first").isNotNull() & (F.col("first.id") != F.col("id"))
-    slim = marked.select("id", "key", "url", "date", "mime", "digest", "payload_bytes", F.when(~is_copy, F.col("block")).alias("block"), F.when(is_copy, F.col("first")).alias("first"))
+    records = store(read_arc(spark, arc, block=False).select("file", "id", "key", "url", "date", "digest"), "arc-records")
+    order = F.struct(F.col("key").try_cast("long").alias("n"), F.col("id").alias("id"), F.col("url").alias("url"), F.col("date").alias("date"))
+    # only digests that repeat are joined, by a small row each
+    first = records.groupBy("digest").agg(F.max(order).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    total = records.count()
+    copies = hub_join(records.select("file", "id", "digest"), first, "digest", "copies", total).where("first.id <> id")
+    refers = store(copies.groupBy("file").agg(F.collect_list(F.struct("id", "first")).alias("copies")), "arc-copies")
+    size = refers.agg(F.sum(F.length(F.to_json("copies")))).first()[0] or 0
+    refers = refers.withColumnRenamed("file", "name")
+    files = _files(spark, arc).join(F.broadcast(refers) if size <= BROADCAST_BYTES else refers, "name", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, size, seq = 0, 0, 0
         for batch in batches:
-            for part in slices(batch, "block"):
-                out = []
-                for r in part.to_pylist():
-                    same, block = r["first"], r["block"] or b""
+            for name, content, copies in zip(*(batch.column(c) for c in ("name", "content", "copies")), strict=True):
+                known = {x["id"]: x["first"] for x in copies.as_py() or ()}
+                out, held = [], 0
+                for r in _arc_rows(name.as_py(), content.as_py()):
+                    same = known.get(r["id"])
+                    block = b"" if same else r["block"]
                     fields = [("WARC-Record-ID", r["id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"]), ("WARC-Payload-Digest", f"sha1:{r['digest']}"), ("X-Archive-Key", r["key"]), ("X-Payload-Length", r["payload_bytes"])]
                     if same:
                         kind = "revisit"
@@ -234,13 +270,19 @@ def convert(spark: SparkSession, arc: str, path: str) -> None:
                         fields.append(("Content-Type", "application/http; msgtype=response" if http else r["mime"]))
                     if size > FILE_BYTES:
                         no, size = no + 1, 0
-                    text = warc_record(kind, fields, block).decode("utf-8", "surrogateescape")
-                    seq += 1
-                    size += len(text)
-                    out.append((no, seq, text))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["file", "seq", "value"])
-
-    _write(slim.mapInArrow(run, "file int, seq long, value string"), path, "\r\n")
+                    data = warc_record(kind, fields, block)
+                    seq, size, held = seq + 1, size + len(data), held + len(data)
+                    out.append((no, seq, data))
+                    if held > FILE_BYTES:
+                        yield made(out)
+                        out, held = [], 0
+                if out:
+                    yield made(out)
+
+    def made(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["file", "seq", "value"])
+
+    _write(files.mapInArrow(run, "file int, seq long, value binary"), path, "\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

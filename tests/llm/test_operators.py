@@ -200,7 +200,42 @@ def test_arc_versions_and_declared_lengths():
         assert [r.url for r in records] == ["filedesc://x", "http://a%20b/%C3%A9", "-"]
         assert warc.http_parts(records[1].block) == ({b"content-type": b"text/html; charset=utf-8", b"x-archive-key": b"7", b"content-length": str(len(payload)).encode()}, payload)
         with pytest.raises(ValueError):
-            list(warc.parse_arc(data[:-20]))
+            list(warc.parse_arc(data[:-20] + b"x", strict=True))
+
+
+def test_arc_damage_is_kept():
+    first = warc.version_block(1, "x") + b"\n"
+    good = b"http://a/1 0.0.0.0 20200101 text/html; charset=utf-8 5\nhello\n"
+    blank = b"http://a/with blank 0.0.0.0 2020 text/plain 2\nok\n"
+    short = b"http://a/3 0.0.0.0 20200101000000 text/html 50\nshort"
+    found = list(warc.parse_arc(first + good + b"rubbish\nmore rubbish\n" + blank + short))[1:]
+    assert [(r.url, r.mime, r.status, r.block) for r in found] == [
+        ("http://a/1", "text/html; charset=utf-8", "-", b"hello"),
+        ("-", "application/octet-stream", "damaged", b"rubbish\nmore rubbish\n"),
+        ("http://a/with blank", "text/plain", "-", b"ok"),
+        ("-", "application/octet-stream", "damaged", short),
+    ]
+    assert [r.status for r in warc.parse_arc(b"no archive at all")] == ["damaged"] and list(warc.parse_arc(b"")) == []
+
+
+@pytest.mark.parametrize("limit", [warc.BROADCAST_BYTES, -1])
+def test_warc_bytes_long_payloads_and_clashing_names(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", limit)
+    bodies = {1: b"\xff\xfe\x00raw \x80 bytes\r\n\r\n", 2: b"long " * 3_000_000, 3: b"\xff\xfe\x00raw \x80 bytes\r\n\r\n", 4: "é".encode(), 5: b"", 6: None}
+    pages = spark.createDataFrame([(k, "u", bytearray(b) if b is not None else None, "mine", 1) for k, b in bodies.items()], "page_id long, url string, html binary, file string, payload int")
+    got = {int(r["key"]): (r["record_type"], r["refers_to"], r["payload_bytes"], bytes(r["payload"]) if r["payload"] is not None else None) for r in warc.archive_round_trip(pages, f"file://{tmp_path}/a").collect()}
+    want = {k: ("response", None, len(b or b""), b or b"") for k, b in bodies.items()}
+    want |= {1: ("revisit", "3", len(bodies[1]), None), 5: ("revisit", "6", 0, None)}
+    assert got == want
+
+
+def test_arc_files_of_others_are_read(spark, tmp_path):
+    (tmp_path / "arc").mkdir()
+    good = b"http://a/1 0.0.0.0 20200101 text/html; charset=utf-8 5\nhello\n"
+    (tmp_path / "arc/own.txt.gz").write_bytes(gzip.compress(warc.version_block(1, "x") + b"\n" + good + b"rubbish"))
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    got = sorted((r["record_type"], r["target_uri"], bytes(r["payload"])) for r in warc.read_warc(spark, f"file://{tmp_path}/warc").collect())
+    assert got == [("resource", "-", b"rubbish"), ("resource", "http://a/1", b"hello")]
 
 
 def test_warc_nulls_and_copies(spark, tmp_path):
