@@ -103,12 +103,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each piece holds about SLICE_BYTES of `column` at most (a single row may hold more)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each piece holds about `most` bytes of `column` at most (a single row may hold more)."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(lengths):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

@@ -40,7 +40,9 @@ HEAVY = 1 << 22
 #: Bits of the bitmap of repeated n-grams of one length: the greatest prime below 2**26.
 BITS = 67108859
 #: Words that are handled at once.
-STEP = 1 << 18
+STEP = 1 << 17
+#: Bytes of text that are split at once.
+SLICE = 1 << 20
 SEED = 42
 #: A step back, in micro-nats.
 PENALTY = round(math.log(ALPHA) * MICRO)
@@ -82,10 +84,11 @@ def hashed(kind: int, h: np.ndarray) -> np.ndarray:
 class Known:
     """What a task knows of one length: the frequent keys with their counts and scores, and which others may be repeated."""
 
-    def __init__(self, table: DataFrame, total: int):
+    def __init__(self, table: DataFrame, total: int, counts: bool = True):
         heavy = table.where(F.col("n") * HEAVY > total).select("key", "n", "micro").toArrow()  # fewer than HEAVY rows
         order = np.argsort(heavy.column("key").to_numpy())
-        self.key, self.n, self.micro = (heavy.column(c).to_numpy()[order] for c in ("key", "n", "micro"))
+        self.key, self.micro = (heavy.column(c).to_numpy()[order] for c in ("key", "micro"))
+        self.n = heavy.column("n").to_numpy()[order] if counts else None
         at = F.pmod("key", F.lit(BITS))
         rows = table.where("n > 1").groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # BITS / 8 bytes
         self.bits = np.zeros((BITS >> 15) + 1 << 12, np.uint8)
@@ -149,7 +152,7 @@ def word_counts(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 hashes, codes, _ = tokens(part.column("text"))
                 n = np.bincount(codes, minlength=len(hashes))
                 yield pa.RecordBatch.from_arrays([pa.array(hashed(1, hashes).view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
@@ -164,7 +167,7 @@ def gram_counts(df: DataFrame, known: Known, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 for *_, block in blocks(part.column("text"), shared.value, order):
                     for level in range(2, order + 1):
                         _, key, context, shorter = block.level(level)
@@ -209,7 +212,7 @@ def requests(df: DataFrame, known: list[Known], order: int, once: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows = part.column("row").to_numpy()
                 micro, steps, words = (np.zeros(len(rows), np.int64) for _ in range(3))
                 for _, owner, place, maybe, block in blocks(part.column("text"), tables[0], order):
@@ -259,7 +262,7 @@ def lm_scores(df: DataFrame, text: str = "text", order: int = ORDER, least: int
         counts = store(gram_counts(slim, known[0], order).where(F.col("n") >= least), "lm-counts", "level")
         for level in range(2, order + 1):
             tables.append(store(differences(counts.where(F.col("level") == level), tables[-1], known[0], total), "lm-grams"))
-            known.append(Known(tables[-1], total))
+            known.append(Known(tables[-1], total, counts=False))
     once = round(math.log(1 / total) * MICRO)
     more = [F.col("micro") - F.lit(once if k == 0 else 0) for k in range(order)]
     light = [t.where((F.col("n") > 1) & (F.col("n") * HEAVY <= total)).select("key", more[k].alias("more"), F.lit(k > 0).alias("step")) for k, t in enumerate(tables)]
