@@ -1,40 +1,207 @@
-"""The evidence gate over rendered claims: sanity, grounding in the paper's own passages, then a decision with its reason.
+"""The evidence gate: every claim of a paper is returned with its evidence, or abstains with its reason.
 
-All tests are columns computed first; the decision is the first rule that fails. Claims meet passages of their own paper by
-an equi-join only, and the preferred passage is kept by an aggregate, so no paper's passages are gathered.
+All tests are columns computed first; the decision is the first rule that fails. Claims meet the passages and table cells of
+their paper by keys they share (a word, a number), not all of them: texts are compared only where such a key does, and the
+preferred one is kept by an aggregate, so no paper's passages are gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidenta.functions.text import anchors, collapse, sig_tokens
+from evidenta.functions import claims as C
+from evidenta.functions import text as X
 
+#: Sections whose passages are preferred, and characters of a span and of a section's context.
+PREFERRED, SPAN, CONTEXT = ("results", "experimental_setup", "discussion"), 400, 6000
+FIELDS = ("datasets", "metrics", "results")
 
-def ground(claims: DataFrame, passages: DataFrame, paper: str = "paper_id", claim: str = "claim_id") -> DataFrame:
-    """Add passage_no and grounding (exact, numbers, tokens or null) of the best passage of the claim's paper.
 
-    `claims` has paper, claim and value; `passages` has paper, passage_no and passage. A value of fewer than four characters is
+def acquisition_status(status: Column, has_full_text: Column) -> Column:
+    """The recorded status, else one by whether there is a full text."""
+    return F.coalesce(F.nullif(status, F.lit("")), F.when(F.coalesce(has_full_text, F.lit(False)), "FULL_TEXT").otherwise("NO_ACCESSIBLE_FULL_TEXT"))
+
+
+def explode_claims(records: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """(paper, field, claim_no, value, full_text): a row for every dataset, metric and sentence of the results (G1).
+
+    `records` has datasets and metrics (arrays), results (text) and status. Sentences of fewer than twelve characters or without
+    a digit are left out; without a full text the results are one claim of 300 characters.
+    """
+    full = F.col("status") == "FULL_TEXT"
+    said = F.transform(X.sentences(X.strip(F.col("results"))), X.strip)
+    stated = F.filter(said, lambda s: (F.length(s) >= 12) & s.rlike("(?U)\\d"))
+    whole = F.array_remove(F.array(F.substring(X.strip(F.col("results")), 1, 300)), "")
+    listed = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), X.strip), lambda x: x != "")
+    values = {"datasets": listed(F.col("datasets")), "metrics": listed(F.col("metrics")), "results": F.when(full, stated).otherwise(whole)}
+    numbered = lambda field: lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("claim_no"), x.alias("value"))
+    each = F.concat(*(F.transform(v, numbered(field)) for field, v in values.items()))
+    return records.select(paper, F.coalesce(full, F.lit(False)).alias("full_text"), F.explode(each).alias("c")).select(paper, "full_text", "c.*")
+
+
+def ground(claims: DataFrame, passages: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """Add passage_no of the passage that states a claim, or null.
+
+    A passage states a value that it holds, letter case and white space apart. If a result has numbers, all of them stand in
+    the passage and two of its tokens do; without numbers four fifths of its tokens do, and two at least. Passages outside the
+    abstract come first, then those of PREFERRED sections, then the first in order. A value of fewer than four characters is
     never grounded.
+
+    `claims` has paper, field, claim_no and value; `passages` has paper, passage_no, section and text.
+    """
+    key = [paper, "field", "claim_no"]
+    c = claims.select(*key, "value", X.collapse(F.col("value")).alias("v")).where(F.length("v") >= 4)
+    p = passages.select(paper, "passage_no", X.text_of(F.col("text")).alias("text"), X.collapse(F.col("text")).alias("p"))
+    # a value of three words or more holds whole words of the passage between its ends: the longest is the key
+    spaced = F.split("v", " ")
+    inner = F.when(F.size(spaced) > 2, F.slice(spaced, 2, F.greatest(F.size(spaced) - 2, F.lit(1))))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = c.withColumn("word", longest)
+    there = p.select(paper, "passage_no", "p", F.explode(F.array_distinct(F.split("p", " "))).alias("word"))
+    holds = F.expr("contains(p, v)")
+    long = keyed.where("word is not null").join(there, [paper, "word"]).where(holds)
+    short = keyed.where("word is null").join(p.select(paper, "passage_no", "p"), paper).where(holds)
+    exact = long.select(*key, "passage_no").unionByName(short.select(*key, "passage_no"))
+    # tokens: counted over the words that both have
+    tokens = c.select(*key, "v", F.when(F.col("field") == "results", F.array_distinct(X.anchors(F.col("value")))).otherwise(F.array().cast("array<string>")).alias("numbers"), X.sig_tokens(F.col("value")).alias("t")).where("size(t) >= 2")
+    words = p.select(paper, "passage_no", F.explode(F.array_distinct(X.all_words(F.col("p")))).alias("word"))
+    shared = tokens.select(*key, F.size("t").alias("n"), F.size("numbers").alias("n_numbers"), F.explode("t").alias("word")).join(words, [paper, "word"]).groupBy(*key, "passage_no", "n", "n_numbers").agg(F.count("*").alias("shared"))
+    near = shared.where((F.col("shared") >= 2) & ((F.col("n_numbers") > 0) | (5 * F.col("shared") >= 4 * F.col("n"))))
+    plain = near.where("n_numbers = 0").select(*key, "passage_no")
+    stated = near.where("n_numbers > 0").select(*key, "passage_no").join(tokens.select(*key, "numbers"), key).join(p.select(paper, "passage_no", "text"), [paper, "passage_no"])
+    numbered = stated.where(F.forall("numbers", lambda x: F.col("text").contains(x))).select(*key, "passage_no")
+    hits = exact.unionByName(plain).unionByName(numbered).join(passages.select(paper, "passage_no", "section"), [paper, "passage_no"])
+    section = F.coalesce("section", F.lit(""))
+    best = hits.groupBy(*key).agg(F.min(F.struct((section == "abstract").alias("a"), (~section.isin(*PREFERRED)).alias("b"), "passage_no")).alias("m")).select(*key, F.col("m.passage_no").alias("passage_no"))
+    return claims.join(best, key, "left")
+
+
+def distinct_cells(cells: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """Cells by row label, column header, value and caption, the first of each in order of cell_no (A10)."""
+    names = ["row_label", "column_header", "value", "caption"]
+    same = [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]
+    return cells.select(paper, "cell_no", *same).groupBy(paper, *names).agg(F.min("cell_no").alias("cell_no"))
+
+
+def bind(claims: DataFrame, cells: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """Add binding (its status) and table_kind: whether a claim's number stands in the cell that its subject and metric imply.
+
+    pdf_only: the paper has no cells; no_number: the claim has none; not_bindable: no column of the paper names its metric;
+    bound: the first of its numbers that any cell has stands under such a column, in a row of the claim's subject;
+    wrong_cell: it stands elsewhere; not_a_table_claim: no cell has any of its numbers.
+
+    `cells` has paper, cell_no, row_label, column_header, value and caption. Numbers meet cells by an equi-join on the number.
     """
-    c = claims.select(paper, claim, collapse(F.col("value")).alias("v"), anchors(F.col("value")).alias("a"), sig_tokens(F.col("value")).alias("t")).where(F.length("v") >= 4)
-    p = passages.select(paper, "passage_no", collapse(F.col("passage")).alias("p"), sig_tokens(F.col("passage")).alias("pt"))
-    exact = F.expr("contains(p, v)")
-    shared = F.size(F.array_intersect("t", "pt"))
-    numbers = (F.size("a") > 0) & (shared >= 2) & F.forall("a", lambda x: F.col("p").contains(x))
-    tokens = (F.size("a") == 0) & (shared >= 2) & (5 * shared >= 4 * F.size("t"))
-    kind = F.when(exact, F.lit(1)).when(numbers, F.lit(2)).when(tokens, F.lit(3))
-    best = c.join(p, paper).select(claim, F.struct(kind.alias("kind"), "passage_no").alias("m")).where("m.kind is not null").groupBy(claim).agg(F.min("m").alias("m"))
-    name = F.element_at(F.array(F.lit("exact"), F.lit("numbers"), F.lit("tokens")), F.col("m.kind"))
-    return claims.join(best.select(claim, F.col("m.passage_no").alias("passage_no"), name.alias("grounding")), claim, "left")
-
-
-def decide(grounded: DataFrame) -> DataFrame:
-    """Add status and reason: the first failing rule abstains."""
-    blank = F.trim(F.coalesce("value", F.lit(""))) == ""
-    needs_number = F.col("field").isin("metric", "result") & ~F.coalesce("value", F.lit("")).rlike("[0-9]")
-    reason = F.when(blank, "blank_value").when(needs_number, "no_number").when(F.col("grounding").isNull(), "not_grounded")
-    return grounded.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "RETURNED").otherwise("ABSTAINED"))
+    key = [paper, "field", "claim_no"]
+    own = distinct_cells(cells, paper).withColumn("metrics", C.metric_tokens("column_header"))
+    c = claims.select(*key, "value", X.anchors(F.col("value")).alias("numbers"), C.subject(F.col("value")).alias("subject")).withColumn("named", C.metric_tokens("value"))
+    # which claims name a column of their paper
+    columns = own.select(paper, F.explode("metrics").alias("metric")).distinct()
+    bindable = c.select(*key, F.explode("named").alias("metric")).join(columns, [paper, "metric"], "left_semi").select(*key).distinct().withColumn("bindable", F.lit(True))
+    # a cell has a number if that is all of it but its marks, or stands in it as a whole
+    bare = F.regexp_replace("value", r"(?U)[^\d.\-]", "")
+    within = F.regexp_extract_all("value", F.lit(r"(?U)(?<![\d.])\d+(?:\.\d+)?(?!\d)"), 0)
+    # 82.1 stands in 82.15 for no rule, but 82 stands before the point of 82.1
+    heads = F.transform(within, lambda x: F.substring_index(x, ".", 1))
+    numbered = own.select(paper, "cell_no", "row_label", "caption", "metrics", F.explode(F.array_distinct(F.concat(F.array(bare), within, heads))).alias("number"))
+    met = c.select(*key, "subject", "named", F.posexplode("numbers").alias("number_no", "number")).join(numbered, [paper, "number"])
+    in_column = F.arrays_overlap("named", "metrics")
+    letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    by_word = F.arrays_overlap(X.all_words(F.col("subject")), X.all_words(F.col("row_label"))) | letters(F.col("row_label")).contains(F.substring(letters(F.col("subject")), 1, 12))
+    on_row = F.when(F.col("subject").isNull(), F.lower("row_label").rlike("(?i)" + C.OWN_ROW)).otherwise((F.size(X.all_words(F.col("subject"))) > 0) & by_word)
+    case = F.when(in_column & on_row, 0).when(in_column, 1).otherwise(2)
+    first = met.groupBy(*key).agg(F.min(F.struct("number_no", case.alias("case"), "cell_no", "caption")).alias("m")).select(*key, "m.case", F.col("m.caption").alias("caption"))
+    any_cell = own.select(paper).distinct().withColumn("structured", F.lit(True))
+    out = claims.join(any_cell, paper, "left").join(c.select(*key, F.size("numbers").alias("n_numbers")), key).join(bindable, key, "left").join(first, key, "left").join(table_kinds(own, paper).withColumnRenamed("kind", "__kind"), [paper, "caption"], "left")
+    status = F.when(F.col("structured").isNull(), "pdf_only").when(F.col("n_numbers") == 0, "no_number").when(F.col("bindable").isNull(), "not_bindable").when(F.col("case") == 0, "bound").when(F.col("case").isNotNull(), "wrong_cell").otherwise("not_a_table_claim")
+    return out.withColumn("binding", status).withColumn("table_kind", F.when(F.col("binding") == "bound", F.col("__kind"))).drop("structured", "n_numbers", "bindable", "case", "caption", "__kind")
 
 
+def table_kinds(cells: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """(paper, caption, kind) of each table."""
+    named = cells.withColumn("__metrics", F.size(C.metric_tokens("column_header")) > 0)
+    sets = named.groupBy(paper, "caption").agg(F.collect_set("column_header").alias("headers"), F.collect_set("row_label").alias("rows"), F.count_distinct(F.when(F.col("__metrics"), F.col("column_header"))).alias("n"))
+    return sets.select(paper, "caption", C.table_kind(F.col("caption"), F.col("headers"), F.col("rows"), F.col("n")).alias("kind"))
+
+
+def guard(claims: DataFrame, cells: DataFrame, passages: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """Add in_table: whether a number of the claim is a whole number of a cell or of a table's text in its paper."""
+    key = [paper, "field", "claim_no"]
+    of_cells = distinct_cells(cells, paper).select(paper, F.explode(X.numeric_tokens(F.col("value"))).alias("number"))
+    of_texts = passages.where("block_type = 'table'").select(paper, F.explode(X.numeric_tokens(F.col("text"))).alias("number"))
+    tokens = of_cells.unionByName(of_texts).distinct()
+    hit = claims.select(*key, F.explode(X.claim_numbers(F.col("value"))).alias("number")).join(tokens, [paper, "number"], "left_semi").select(*key).distinct()
+    return claims.join(hit.withColumn("in_table", F.lit(True)), key, "left").withColumn("in_table", F.coalesce("in_table", F.lit(False)))
+
+
+def section_context(passages: DataFrame, paper: str = "paper_id", limit: int = CONTEXT) -> DataFrame:
+    """(paper, section, context): passages of a section in order until they hold `limit` characters, the one that does included."""
+    w = Window.partitionBy(paper, "section").orderBy("passage_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length(X.text_of(F.col("text")))).over(w), F.lit(0))
+    kept = passages.withColumn("__before", before).where(F.col("__before") < limit)
+    return kept.groupBy(paper, "section").agg(F.array_sort(F.collect_list(F.struct("passage_no", X.text_of(F.col("text")).alias("t")))).alias("a")).select(paper, "section", F.array_join(F.transform("a", lambda x: x["t"]), " ").alias("context"))
+
+
+def gate(records: DataFrame, passages: DataFrame, cells: DataFrame, guarded: bool = True, paper: str = "paper_id") -> DataFrame:
+    """All claims of `records` with final, reason and their evidence.
+
+    The first rule that fails gives the reason: full text, sanity, range, binding, kind of the bound table, the guard (if
+    `guarded`: a number of a table must be bound to it), grounding, attribution. `records` may have surnames (an array) of
+    the authors; `passages` has paper, passage_no, section, block_type and text.
+    """
+    claims = explode_claims(records, paper).withColumn("sane", C.sane(F.col("field"), F.col("value")))
+    quantity = F.col("field").isin("metrics", "results")
+    claims = claims.withColumn("range", F.when(quantity & F.col("value").rlike("[0-9]"), C.range_check("value")))
+    tested = guard(bind(ground(claims, passages, paper), cells, paper), cells, passages, paper)
+    names = records.select(paper, (F.col("surnames") if "surnames" in records.columns else F.lit(None).cast("array<string>")).alias("surnames"))
+    texts = passages.select(paper, "passage_no", "section", "block_type", "text")
+    full = tested.join(texts, [paper, "passage_no"], "left").join(section_context(passages, paper), [paper, "section"], "left").join(names, paper, "left")
+    grounded = F.col("passage_no").isNotNull()
+    full = full.withColumn("evidence_span", F.when(grounded, F.substring(C.support("value", "text"), 1, SPAN)))
+    full = full.withColumn("whose", F.when(grounded & quantity, C.attribute("text", "value", "block_type", "section", "context", "surnames")))
+    number = quantity & (F.size(X.anchors(F.col("value"))) > 0)
+    bound_to = lambda kind: number & (F.col("binding") == "bound") & (F.col("table_kind") == kind)
+    reason = (
+        F.when(~F.col("full_text"), "no_validated_full_text")
+        .when(~F.col("sane"), "value_failed_sanity_check")
+        .when(F.col("range").isNotNull(), "metric_value_out_of_range")
+        .when(number & (F.col("binding") == "pdf_only"), "unverifiable_binding")
+        .when(number & (F.col("binding") == "wrong_cell"), "binding_wrong_cell")
+        .when(bound_to("ablation"), "bound_to_ablation_table")
+        .when(bound_to("other"), "bound_to_other_table")
+        .when(F.lit(guarded) & number & F.col("binding").isin("not_bindable", "not_a_table_claim") & F.col("in_table"), "table_value_unbound")
+        .when(~grounded, "evidence_span_not_found_in_paper_chunks")
+        .when(quantity & (F.col("whose.attribution") == "CITED_PAPER"), "attributed_to_cited_work")
+        .when(quantity & (F.col("whose.attribution") == "UNKNOWN"), "ownership_unverified")
+    )
+    out = full.withColumn("reason", reason)
+    explicit = F.col("reason").isNull() | F.col("reason").isin("attributed_to_cited_work", "ownership_unverified", "bound_to_ablation_table", "bound_to_other_table")
+    status = F.when(explicit, "EXPLICIT").when(F.col("reason") == "no_validated_full_text", "MISSING").otherwise("UNSUPPORTED")
+    final = F.when(F.col("reason").isNull(), "RETURNED").otherwise("ABSTAINED")
+    said = F.col("reason").isNull() | F.col("reason").isin("attributed_to_cited_work", "ownership_unverified")
+    return out.select(paper, "field", "claim_no", "value", final.alias("final"), "reason", status.alias("evidence_status"), explicit.alias("provenance_valid"), F.when(number, F.col("binding")).alias("binding"), "table_kind", F.when(said, F.col("passage_no")).alias("passage_no"), F.when(said, F.col("evidence_span")).alias("evidence_span"), F.when(said & quantity, F.col("whose.attribution")).otherwise("UNKNOWN").alias("attribution"), F.when(said & quantity, F.col("whose.confidence")).otherwise(0.0).alias("attribution_confidence"), F.col("range.metric").alias("range_metric"))
+
+
+def statistics(items: DataFrame) -> DataFrame:
+    """(field, returned, abstained, explicit, own, cited, unknown, return_rate): one row for each field and one for all (A5)."""
+    count = lambda c: F.count_if(c)
+    returned = count(F.col("final") == "RETURNED")
+    return items.rollup("field").agg(returned.alias("returned"), count(F.col("final") == "ABSTAINED").alias("abstained"), count(F.col("evidence_status") == "EXPLICIT").alias("explicit"), count("provenance_valid").alias("provenance_valid"), *(count(F.col("attribution") == a).alias(n) for a, n in (("OWN_PAPER", "own"), ("CITED_PAPER", "cited"), ("UNKNOWN", "unknown"))), F.round(returned / F.count("*"), 4).alias("return_rate"))
+
+
+def monitor(items: DataFrame, records: DataFrame, reference: int | None = None, low: float = 0.5, high: float = 2.0, paper: str = "paper_id") -> DataFrame:
+    """One row of four signals and the worst of them.
+
+    A: the number returned against a reference; B: quantities returned that aren't the paper's own; C: explicit evidence whose
+    provenance is valid; D: claims returned without a full text.
+    """
+    with_status = items.join(records.select(paper, (F.col("status") == "FULL_TEXT").alias("full")), paper, "left")
+    returned = F.col("final") == "RETURNED"
+    sums = with_status.agg(F.count_if(returned).alias("returned"), F.count_if(returned & F.col("field").isin("metrics", "results") & (F.col("attribution") != "OWN_PAPER")).alias("not_own"), F.count_if(F.col("evidence_status") == "EXPLICIT").alias("checked"), F.count_if((F.col("evidence_status") == "EXPLICIT") & F.col("provenance_valid")).alias("valid"), F.count_if(returned & ~F.coalesce("full", F.lit(False))).alias("leaks"))
+    share = F.col("returned") / F.lit(reference)
+    a = F.lit("INFO") if reference is None else F.when((share < low) | (share > high), "WARN").otherwise("OK")
+    out = sums.select("*", a.alias("a"), F.when(F.col("not_own") == 0, "OK").otherwise("FAIL").alias("b"), F.when(F.col("checked") == 0, "WARN").when(F.col("valid") == F.col("checked"), "OK").otherwise("FAIL").alias("c"), F.when(F.col("leaks") == 0, "OK").otherwise("CRITICAL").alias("d"))
+    order = F.array(*map(F.lit, ("OK", "WARN", "FAIL", "CRITICAL")))
+    places = F.array(*(F.greatest(F.array_position(order, F.col(x)), F.lit(1).cast("long")) for x in "abcd"))
+    return out.withColumn("overall", F.element_at(order, F.array_max(places).cast("int")))
