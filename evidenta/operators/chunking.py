@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidenta.functions.text import words
+from evidenta.functions.text import SPACE, text_of, words
 
 
 def chunk_windows(df: DataFrame, key: str, text: str, size: int = 220, overlap: int = 40) -> DataFrame:
@@ -30,3 +30,22 @@ def head_tail(w: Column, budget: int, share: float = 0.75) -> Column:
     """The first and last words of a list that a budget allows, with a marker between them."""
     head = int(budget * share)
     return F.when(F.size(w) <= budget, F.array_join(w, " ")).otherwise(F.concat(F.array_join(F.slice(w, 1, head), " "), F.lit(" [...] "), F.array_join(F.slice(w, head - budget, budget - head), " ")))
+
+
+def block_offsets(df: DataFrame, paper: str, order: str, text: str) -> DataFrame:
+    """(paper, order, block_id, char_start, char_end): number of each block and its place in the paper's text."""
+    w = Window.partitionBy(paper).orderBy(order)
+    end = F.sum(F.length(text_of(F.col(text)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    number = F.concat(F.col(paper).cast("string"), F.lit(":"), (F.row_number().over(w) - 1).cast("string"))
+    return df.select(paper, order, number.alias("block_id"), (end - F.length(text_of(F.col(text)))).alias("char_start"), end.alias("char_end"))
+
+
+def block_chunks(df: DataFrame, key: list[str], text: str, size: int = 220, overlap: int = 40) -> DataFrame:
+    """(key, chunk_index, char_start, char_end, chunk): windows within a block, and their places in its text with single blanks."""
+    step = size - overlap
+    w = df.select(*key, F.filter(F.split(text_of(F.col(text)), SPACE + "+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - overlap - 1, F.lit(0)) / step).cast("int"))
+    cut = lambda i: F.struct(F.array_join(F.slice("w", 1, i * step), " ").alias("before"), F.array_join(F.slice("w", i * step + 1, size), " ").alias("chunk"))
+    each = w.select(*key, F.posexplode(F.transform(starts, cut)).alias("chunk_index", "c"))
+    start = F.length("c.before") + F.when(F.col("chunk_index") > 0, 1).otherwise(0)
+    return each.select(*key, "chunk_index", start.alias("char_start"), (start + F.length("c.chunk")).alias("char_end"), F.col("c.chunk").alias("chunk"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidenta.functions import text as X
+
 
 def gap_matrix(facts: DataFrame, category: str, item: str) -> DataFrame:
-    """(category, item, n): counts of all pairs of known categories and items, zeros included (A1).
+    """(category, item, n): counts of all pairs of a category and a known item, zeros included (A1).
 
-    Counts are aggregated first; the grid is made from the two vocabularies, not from the facts.
+    A category without any item is kept. Counts are aggregated first. The grid is that of two vocabularies, not of the facts,
+    and its rows are the result itself: the items are repeated for each category.
     """
-    counts = facts.where(F.col(category).isNotNull() & F.col(item).isNotNull()).groupBy(category, item).agg(F.count("*").alias("n"))
-    items = counts.agg(F.collect_set(item).alias("__items"))
-    grid = counts.select(category).distinct().withColumn("__one", F.lit(1)).join(items.withColumn("__one", F.lit(1)), "__one").select(category, F.explode("__items").alias(item))
+    counts = facts.where(F.col(category).isNotNull()).groupBy(category, item).agg(F.count("*").alias("n"))
+    items = counts.select(item).where(F.col(item).isNotNull()).distinct()
+    grid = counts.select(category).distinct().crossJoin(items)
     return grid.join(counts, [category, item], "left").select(category, item, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -33,8 +36,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_wins(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """One row for each key, the first in order."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+    """One row for each key, the first in order (A10, U5). Keys are shuffled and compared as their SHA-256."""
+    names = [f"__key{k}" for k in range(len(keys))]
+    keyed = df.withColumns(dict(zip(names, keys, strict=True)))
+    ranked = keyed.withColumn("__rn", F.row_number().over(Window.partitionBy(*(F.sha2(F.to_json(F.struct(*names)), 256),)).orderBy(*order)))
+    return ranked.where("__rn = 1").drop("__rn", *names)
 
 
 def first_n(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
@@ -46,3 +52,22 @@ def dominant(df: DataFrame, key: str, value: str, position: str) -> DataFrame:
     """(key, value, n): the most frequent value of each key, of equal ones the one seen first."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"), F.min(position).alias("first"))
     return counts.groupBy(key).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("first"))).alias("m")).select(key, f"m.{value}", "m.n")
+
+
+def title_tiers(cited: DataFrame, real: DataFrame, key: str, title: str) -> DataFrame:
+    """(key, tier, real): cited titles by equal title (1), else without a note in brackets at their end (2), else null.
+
+    `real` has title (normalised, each once) and real.
+    """
+    c = cited.select(key, X.normal_title(F.col(title)).alias("t1"), X.normal_title(X.without_tag(F.col(title))).alias("t2"))
+    one = real.select(F.col("title").alias("t1"), F.col("real").alias("r1"))
+    two = real.select(F.col("title").alias("t2"), F.col("real").alias("r2"))
+    out = c.join(one, "t1", "left").join(two, "t2", "left")
+    return out.select(key, F.when(F.col("r1").isNotNull(), 1).when(F.col("r2").isNotNull(), 2).alias("tier"), F.coalesce("r1", "r2").alias("real"))
+
+
+def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how many ids both have, either has, and only the first has."""
+    key = a.columns[0]
+    both = a.distinct().withColumn("__a", F.lit(1)).join(b.distinct().withColumn("__b", F.lit(1)), key, "full")
+    return both.agg(F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("both"), F.count("*").alias("either"), F.count_if(F.col("__b").isNull()).alias("only_first"))

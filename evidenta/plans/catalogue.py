@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidenta.functions import text as X
 from evidenta.functions.vectors import dot
-from evidenta.operators import chunking, gate, relational, retrieval
+from evidenta.operators import chunking, relational, retrieval
 from evidenta.sources.tables import table as t
 from evidenta.streaming.events import event_windows as windows_of
 
@@ -49,10 +49,16 @@ def gap_matrix(s, d):
     return relational.gap_matrix(_sold(s, d), "c_mktsegment", "p_brand")
 
 
-@query(f"WITH m AS ({_GAP}) SELECT c_mktsegment, p_brand, n FROM m WHERE n < (SELECT 0.95 * avg(n) FROM m)")
+_SPARSE = """WITH f AS (SELECT o_custkey % 97 AS category, p_brand, count(l_partkey) AS n FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT a.category, b.p_brand FROM (SELECT DISTINCT category FROM f) a CROSS JOIN (SELECT DISTINCT p_brand FROM f WHERE p_brand IS NOT NULL) b ANTI JOIN f ON f.category = a.category AND f.p_brand = b.p_brand"""
+
+
+@query(_SPARSE)
 def candidate_gaps(s, d):
-    m = gap_matrix(s, d)
-    return m.withColumn("mean", F.avg("n").over(Window.partitionBy(F.lit(1)))).where("n < 0.95 * mean").drop("mean")
+    """Pairs of a category and an item that no paper has: categories without any item are among them."""
+    lines = t(s, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    facts = t(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 97).alias("category")).join(lines, "o_orderkey", "left").join(t(s, d, "part").select("p_partkey", "p_brand"), "p_partkey", "left")
+    return relational.gap_matrix(facts, "category", "p_brand").where("n = 0").drop("n")
 
 
 @query("SELECT o_orderkey, c_name, n_name, r_name, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -177,12 +183,12 @@ def head_tail_budget(s, d):
     return t(s, d, "documents").select("doc_id", chunking.head_tail(X.words(F.col("text")), 100).alias("context"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS v FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g')) AS v FROM documents")
 def whitespace_norm(s, d):
     return t(s, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("v"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g')) AS v FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?is)\\n\\s*(references|acknowledge?ments|bibliography)\\s*\\n.*$', ''), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '^[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+|[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+$', '', 'g') AS v FROM documents")
 def clean_text(s, d):
     return t(s, d, "documents").select("doc_id", X.clean(F.col("text")).alias("v"))
 
@@ -192,7 +198,7 @@ def sentence_split(s, d):
     return t(s, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"))
 
 
-@query("SELECT page_id, regexp_extract_all(coalesce(html, ''), '\\b\\d+\\.\\d+\\b|\\b\\d{2,}\\b') AS anchors FROM pages")
+@query("SELECT page_id, regexp_extract_all(coalesce(html, ''), '\\d+\\.\\d+|\\b\\d{2,}\\b') AS anchors FROM pages")
 def anchor_tokens(s, d):
     return t(s, d, "pages").select("page_id", X.anchors(F.col("html")).alias("anchors"))
 
@@ -285,24 +291,3 @@ def cells_unpivot(s, d):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(s, d):
     return windows_of(t(s, d, "events"))
-
-
-# the gate
-
-
-@query()
-def gate_claims(s, d):
-    docs = t(s, d, "documents").select(F.col("doc_id").alias("paper_id"), "text")
-    passages = chunking.chunk_windows(docs, "paper_id", "text").select("paper_id", F.col("chunk_index").alias("passage_no"), F.col("chunk").alias("passage"))
-    said = docs.select("paper_id", F.posexplode(X.sentences(F.col("text"))).alias("claim_no", "value"))
-    field = F.when(F.col("value").rlike("[0-9]"), "result").when(F.length("value") < 30, "metric").otherwise("dataset")
-    claims = said.withColumns({"field": field, "claim_id": F.concat_ws(":", "paper_id", "claim_no")})
-    return gate.decide(gate.ground(claims, passages)).select("claim_id", "field", "status", "reason", "grounding", "passage_no")
-
-
-@query()
-def gate_stats(s, d):
-    return gate_claims(s, d).groupBy("field", "status", "reason").agg(F.count("*").alias("n"))
-
-
-FLAGSHIP = gate_claims

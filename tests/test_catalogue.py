@@ -30,15 +30,6 @@ def test_equals_sql(spark, duck, name):
     assert sorted(str(plain(list(r))) for r in df.select(*names).collect()) == sorted(str(plain(list(r))) for r in result.fetchall())
 
 
-def test_gate_decisions(spark):
-    from evidenta.operators import gate
-
-    claims = spark.createDataFrame([(1, "a", "dataset", "exactly this passage"), (1, "b", "dataset", ""), (1, "c", "metric", "no digits here"), (2, "d", "dataset", "exactly this passage"), (1, "e", "result", "accuracy reached 91.5 percent")], "paper_id int, claim_id string, field string, value string")
-    passages = spark.createDataFrame([(1, 0, "We quote EXACTLY  this passage here."), (1, 1, "percent accuracy of the model was 91.5")], "paper_id int, passage_no int, passage string")
-    got = {r["claim_id"]: (r["status"], r["reason"], r["grounding"]) for r in gate.decide(gate.ground(claims, passages)).collect()}
-    assert got == {"a": ("RETURNED", None, "exact"), "b": ("ABSTAINED", "blank_value", None), "c": ("ABSTAINED", "no_number", None), "d": ("ABSTAINED", "not_grounded", None), "e": ("RETURNED", None, "numbers")}
-
-
 def test_vector_search_takes_every_50th_row(spark):
     e = spark.read.parquet(f"{DIR}/embeddings.parquet")
     probes = {r["vec_id"] for r in e.where("vec_id % 50 = 0").collect()}
