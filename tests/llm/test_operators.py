@@ -285,8 +285,8 @@ def test_lm_scores_of_any_order_by_brute_force(spark, monkeypatch, heavy, order)
     if not heavy:
         made = lm_score.Known.__init__
 
-        def full(self, *a):
-            made(self, *a)
+        def full(self, *a, **b):
+            made(self, *a, **b)
             self.bits[:] = 255
 
         monkeypatch.setattr(lm_score.Known, "__init__", full)
