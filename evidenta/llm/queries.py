@@ -29,8 +29,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    early = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0
-    store = sharding.shard([docs.where(early), docs.where(~early)], scratch(spark, "shards"))
+    arrival = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    store = sharding.shard([docs.where(arrival == k) for k in range(4)], scratch(spark, "shards"), rows=sharding.rows_of(docs))
     store.vacuum()
     text = F.coalesce("text", F.lit(""))
     return store.read(docs.schema).select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))

@@ -2,7 +2,8 @@
 
 Arrivals are appended as small shards. A shard's tier is the power of `fan_in` that its size has reached; once a tier holds
 `fan_in` shards or more, they are packed in order of arrival into groups of at most the target size and each group is written
-as one new shard. Old shards aren't touched, so readers of an older version are not disturbed; `vacuum` removes what no kept
+as one new shard. A round takes at most ROUND shards, so what a job has to know of them is bounded; the rounds go on until no
+tier is full. Old shards aren't touched, so readers of an older version are not disturbed; `vacuum` removes what no kept
 version names. A version exists once its manifest has been renamed to its number, which only one writer can do.
 """
 
@@ -16,8 +17,14 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidenta.llm.common import fresh
+
 TARGET_BYTES = 32 << 20
 FAN_IN = 4
+#: Arrivals are cut into shards of at most this part of the target.
+PARTS = 8
+#: Shards that one job merges, at most; their names and groups (under 100 bytes each) are broadcast to it.
+ROUND = 1 << 16
 #: Shards below this size are one tier.
 LEAST_BYTES = 64 << 10
 GROUP = "__group"
@@ -56,7 +63,13 @@ def merge_groups(shards: list[Shard], target: int = TARGET_BYTES, fan_in: int =
                 now = []
             now.append(s)
         out.append(now)
-    return [g for g in out if len(g) > 1]
+    found, n = [], 0
+    for g in (g for g in out if len(g) > 1):
+        n += len(g)
+        if n > ROUND:
+            break
+        found.append(g)
+    return found
 
 
 class ShardStore:
@@ -113,11 +126,11 @@ class ShardStore:
                 found.append(Shard(f.getPath().toString().removeprefix(base), int(f.getLen()), arrival))
         return sorted(found, key=lambda s: s.path)
 
-    def append(self, df: DataFrame) -> int:
-        """Write the rows of `df` as new shards, one for each partition that has rows, and commit them."""
+    def append(self, df: DataFrame, rows: int = 0) -> int:
+        """Write the rows of `df` as new shards of at most `rows` rows (0: one for each partition that has rows), and commit them."""
         version, shards = self.manifest()
         name = f"data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(f"{self.root}/{name}")
         return self.commit(version + 1, shards + self._written(name, version + 1))
 
     def compact(self) -> int:
@@ -126,12 +139,14 @@ class ShardStore:
         while groups := merge_groups(shards, self.target, self.fan_in, self.least):
             name = f"data/{uuid.uuid4().hex}"
             base = self.fs.makeQualified(self.hadoop.Path(self.root)).toString().rstrip("/") + "/"
-            pairs = [(s.path.rsplit("/", 1)[1], k) for k, g in enumerate(groups) for s in g]
-            # one short row for each file, so its size is bounded by the manifest's
-            number = F.broadcast(self.spark.createDataFrame(pairs, f"__file string, {GROUP} int"))
-            rows = self.spark.read.parquet(*(base + s.path for g in groups for s in g)).withColumn("__file", F.col("_metadata.file_name"))
-            merged = rows.join(number, "__file").drop("__file").repartitionById(len(groups), F.col(GROUP))
-            merged.drop(GROUP).write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(f"{self.root}/{name}")
+            pairs = [("/".join(s.path.split("/")[-2:]), k) for k, g in enumerate(groups) for s in g]
+            source = self.spark.read.parquet(*(base + s.path for g in groups for s in g))
+            file, group = fresh(source, "__file"), fresh(source, GROUP)
+            # ROUND short rows at most
+            number = F.broadcast(self.spark.createDataFrame(pairs, f"`{file}` string, `{group}` int"))
+            rows = source.withColumn(file, F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1))
+            merged = rows.join(number, file).drop(file).repartitionById(len(groups), F.col(group))
+            merged.drop(group).write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(f"{self.root}/{name}")
             gone = {s.path for g in groups for s in g}
             shards = [s for s in shards if s.path not in gone] + self._written(name, min(s.arrival for g in groups for s in g))
             version = self.commit(version + 1, shards)
@@ -156,15 +171,26 @@ class ShardStore:
         return len(dead)
 
 
-def shard(arrivals: list[DataFrame], root: str, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardStore:
+def rows_of(df: DataFrame, target: int = TARGET_BYTES) -> int:
+    """Rows of a shard that is a PARTS-th of the target, by the bytes that the files of a scan have for each of its rows."""
+    spark, total = df.sparkSession, 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return max(1, int(target / PARTS * df.count() / total)) if total else 0
+
+
+def shard(arrivals: list[DataFrame], root: str, target: int = TARGET_BYTES, fan_in: int = FAN_IN, rows: int = 0) -> ShardStore:
     """Append each of `arrivals` in order, then compact; returns the store.
 
-    Every row is kept as it is: nulls in any column, empty and very long texts, repeated rows and any column names but
-    `__file` and `__group`. An empty table adds a version, and no shard with rows. A job that is lost before its commit leaves
-    files that no version names.
+    Every row is kept as it is: nulls in any column, empty and very long texts, repeated rows and any column names. Shards of
+    an arrival have at most `rows` rows (0: no limit), see rows_of. An empty table adds a version, and no shard with rows; at
+    least one arrival is needed. A job that is lost before its commit leaves files that no version names.
     """
+    if not arrivals:
+        raise ValueError("nothing has arrived")
     store = ShardStore(arrivals[0].sparkSession, root, target, fan_in)
     for df in arrivals:
-        store.append(df)
+        store.append(df, rows)
     store.compact()
     return store

@@ -253,6 +253,22 @@ def test_shard_tiers():
     assert sharding.merge_groups(shards[:3], target=500, fan_in=4, least=100) == []
 
 
+def test_shards_reach_and_keep_the_target(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, "".join(chr(rng.randrange(32, 1000)) for _ in range(200)), "x") for k in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string, __group string").withColumn("__file", F.lit(None).cast("string")).repartition(2).write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    target = 256 << 10
+    n = sharding.rows_of(docs, target)
+    assert 0 < n < 6000 // 4
+    store = sharding.shard([docs.where(F.col("doc_id") % 5 == k) for k in range(5)] + [docs.where("false")], f"file://{tmp_path}/s", target, rows=n)
+    sizes = [s.size for s in store.manifest()[1]]
+    assert max(sizes) <= 1.2 * target and sum(x > target / 2 for x in sizes) >= len(sizes) - 2
+    assert store.read(docs.schema).exceptAll(docs).count() == 0 and store.read(docs.schema).count() == 6000
+    with pytest.raises(ValueError, match="arrived"):
+        sharding.shard([], f"file://{tmp_path}/none")
+
+
 def test_shard_store(spark, docs, tmp_path):
     store = sharding.shard([docs.repartition(3), docs.repartition(3)], f"file://{tmp_path}/s")
     assert store.versions()[:2] == [1, 2] and len(store.versions()) > 2
