@@ -100,12 +100,20 @@ def without_own_citations(text: str, surnames: set[str]) -> str:
     return text
 
 
-def attribution(context: str | None, span: str | None, kind: str | None, section: str | None, around: str | None, names: list[str] | None) -> dict:
-    """Whose result a span states: OWN_PAPER, CITED_PAPER or UNKNOWN, with confidence and level.
+def strong_cues(text: str) -> int:
+    """Cues in a section's text that it is about own work."""
+    return sum(x in text.lower() for x in STRONG_OWN) + bool(_OWN_TABLE.search(text))
 
-    Levels are tried in order: the sentence with its neighbours, the block, the row of a table, the section.
+
+def attribution(context: str | None, span: str | None, kind: str | None, section: str | None, strong: int | None, names: list[str] | None) -> dict | None:
+    """Whose result a span states: OWN_PAPER, CITED_PAPER or UNKNOWN, with confidence and level (G6, M6); null without a context.
+
+    Levels are tried in order: the sentence with its neighbours, the block, the row of a table, the section, of which only the
+    number of its cues is wanted (null: those of the context count).
     """
-    context, span = context or "", span or ""
+    if context is None:
+        return None
+    span = span or ""
     surnames = {x.split()[-1].lower() for x in names or () if x and x.split()}
     said = lambda who, confidence, level: {"attribution": who, "confidence": round(confidence, 2), "level": level}
     for window, base, level in ((sentence_around(context, span, 1), 0.6, "sentence"), (context, 0.5, "paragraph")):
@@ -124,20 +132,21 @@ def attribution(context: str | None, span: str | None, kind: str | None, section
             return said("CITED_PAPER", 0.6, "table_row")
         if own_line and any(x in context[:400].lower() for x in OWN_CAPTION):
             return said("OWN_PAPER", 0.6, "table_row")
-    whole = around or context
-    strong = sum(x in whole.lower() for x in STRONG_OWN) + bool(_OWN_TABLE.search(whole))
+    strong = strong_cues(context) if strong is None else strong
     if section in OWN_SECTIONS and strong >= 2 and not _CITATION.search(line):
         return said("OWN_PAPER", 0.55, "section_subject")
     return said("UNKNOWN", 0.3, "exhausted")
 
 
-def supporting_sentence(value: str | None, text: str | None) -> str:
+def supporting_sentence(value: str | None, text: str | None) -> str | None:
     """The sentence of a text that supports a value best.
 
     One that holds it, else one with all its numbers, else the one with most of its words if half are there; else the text
-    around the value's beginning, and at last the value itself.
+    around the value's beginning, and at last the value itself. Null without a text.
     """
-    value, text = value or "", text or ""
+    if text is None:
+        return None
+    value = value or ""
     squeeze = lambda x: " ".join(x.lower().split())
     parts, plain = _SENTENCE.split(text), squeeze(value)
     numbers = {*re.findall(X.ANCHOR, value)}
@@ -169,6 +178,12 @@ support = F.udf(supporting_sentence, T.StringType(), useArrow=True)
 ratio = F.udf(similarity, T.DoubleType(), useArrow=True)
 
 
+def cues(c: Column) -> Column:
+    """Cues in a section's text that it is about own work (strong_cues)."""
+    low = F.lower(X.text_of(c))
+    return sum((low.contains(x).cast("int") for x in STRONG_OWN), F.lit(0)) + X.text_of(c).rlike("(?iU)" + OWN_TABLE).cast("int")
+
+
 def has_metric_word(c: Column) -> Column:
     """Whether a significant token of a text names a metric."""
     return F.size(F.array_intersect(X.sig_tokens(c), F.array(*map(F.lit, METRIC_WORDS)))) > 0

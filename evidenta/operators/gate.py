@@ -156,13 +156,9 @@ def gate(records: DataFrame, passages: DataFrame, cells: DataFrame, guarded: boo
     tested = guard(bind(ground(claims, passages, paper), cells, paper), cells, passages, paper)
     names = records.select(paper, (F.col("surnames") if "surnames" in records.columns else F.lit(None).cast("array<string>")).alias("surnames"))
     texts = passages.select(paper, "passage_no", "section", "block_type", "text")
-    full = tested.join(texts, [paper, "passage_no"], "left").join(section_context(passages, paper), [paper, "section"], "left").join(names, paper, "left")
-    grounded = F.col("passage_no").isNotNull()
-    full = full.withColumn("evidence_span", F.when(grounded, F.substring(C.support("value", "text"), 1, SPAN)))
-    full = full.withColumn("whose", F.when(grounded & quantity, C.attribute("text", "value", "block_type", "section", "context", "surnames")))
     number = quantity & (F.size(X.anchors(F.col("value"))) > 0)
     bound_to = lambda kind: number & (F.col("binding") == "bound") & (F.col("table_kind") == kind)
-    reason = (
+    early = (
         F.when(~F.col("full_text"), "no_validated_full_text")
         .when(~F.col("sane"), "value_failed_sanity_check")
         .when(F.col("range").isNotNull(), "metric_value_out_of_range")
@@ -171,16 +167,19 @@ def gate(records: DataFrame, passages: DataFrame, cells: DataFrame, guarded: boo
         .when(bound_to("ablation"), "bound_to_ablation_table")
         .when(bound_to("other"), "bound_to_other_table")
         .when(F.lit(guarded) & number & F.col("binding").isin("not_bindable", "not_a_table_claim") & F.col("in_table"), "table_value_unbound")
-        .when(~grounded, "evidence_span_not_found_in_paper_chunks")
-        .when(quantity & (F.col("whose.attribution") == "CITED_PAPER"), "attributed_to_cited_work")
-        .when(quantity & (F.col("whose.attribution") == "UNKNOWN"), "ownership_unverified")
+        .when(F.col("passage_no").isNull(), "evidence_span_not_found_in_paper_chunks")
     )
+    # only claims that pass all this need their passage's text
+    open_ = tested.withColumn("early", early).withColumn("at", F.when(F.col("early").isNull(), F.col("passage_no")))
+    strong = section_context(passages, paper).select(paper, "section", C.cues(F.col("context")).alias("strong"))
+    full = open_.join(texts.withColumnRenamed("passage_no", "at"), [paper, "at"], "left").join(strong, [paper, "section"], "left").join(names, paper, "left")
+    full = full.withColumn("evidence_span", F.substring(C.support("value", "text"), 1, SPAN)).withColumn("whose", C.attribute(F.when(quantity, F.col("text")), "value", "block_type", "section", "strong", "surnames"))
+    reason = F.coalesce("early", F.when(F.col("whose.attribution") == "CITED_PAPER", "attributed_to_cited_work").when(F.col("whose.attribution") == "UNKNOWN", "ownership_unverified"))
     out = full.withColumn("reason", reason)
     explicit = F.col("reason").isNull() | F.col("reason").isin("attributed_to_cited_work", "ownership_unverified", "bound_to_ablation_table", "bound_to_other_table")
     status = F.when(explicit, "EXPLICIT").when(F.col("reason") == "no_validated_full_text", "MISSING").otherwise("UNSUPPORTED")
     final = F.when(F.col("reason").isNull(), "RETURNED").otherwise("ABSTAINED")
-    said = F.col("reason").isNull() | F.col("reason").isin("attributed_to_cited_work", "ownership_unverified")
-    return out.select(paper, "field", "claim_no", "value", final.alias("final"), "reason", status.alias("evidence_status"), explicit.alias("provenance_valid"), F.when(number, F.col("binding")).alias("binding"), "table_kind", F.when(said, F.col("passage_no")).alias("passage_no"), F.when(said, F.col("evidence_span")).alias("evidence_span"), F.when(said & quantity, F.col("whose.attribution")).otherwise("UNKNOWN").alias("attribution"), F.when(said & quantity, F.col("whose.confidence")).otherwise(0.0).alias("attribution_confidence"), F.col("range.metric").alias("range_metric"))
+    return out.select(paper, "field", "claim_no", "value", final.alias("final"), "reason", status.alias("evidence_status"), explicit.alias("provenance_valid"), F.when(number, F.col("binding")).alias("binding"), "table_kind", F.col("at").alias("passage_no"), "evidence_span", F.coalesce("whose.attribution", F.lit("UNKNOWN")).alias("attribution"), F.coalesce("whose.confidence", F.lit(0.0)).alias("attribution_confidence"), F.col("range.metric").alias("range_metric"))
 
 
 def statistics(items: DataFrame) -> DataFrame:

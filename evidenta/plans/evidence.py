@@ -53,7 +53,7 @@ _NAMED = "text || CASE WHEN doc_id % 3 = 0 THEN ' We evaluated on COCO and the F
 _PHRASED = ", ".join(f"regexp_extract_all(v, '{p}', 1)" for p in X.DATASET_PHRASES)
 
 
-@query(f"SELECT doc_id, list_sort(list_distinct(list_concat(list_filter({_sql_list(X.DATASETS)}, lambda n: regexp_matches(v, '(?i)\\b' || n || '\\b')), list_filter(flatten([{_PHRASED}]), lambda x: x NOT IN ({', '.join(repr(w) for w in X.NO_DATASETS)}) AND (regexp_matches(x, '[0-9]') OR regexp_matches(x, '[A-Z].*[A-Z]')))))) AS names FROM (SELECT doc_id, coalesce({_NAMED}, '') AS v FROM documents)")
+@query(f"SELECT doc_id, list_sort(list_distinct(list_concat(list_filter({_sql_list(X.DATASETS)}, lambda n: regexp_matches(regexp_replace(v, '[^\\x00-\\x7F]', 'x', 'g'), '(?i)\\b' || n || '\\b')), list_filter(flatten([{_PHRASED}]), lambda x: x NOT IN ({', '.join(repr(w) for w in X.NO_DATASETS)}) AND (regexp_matches(x, '[0-9]') OR regexp_matches(x, '[A-Z].*[A-Z]')))))) AS names FROM (SELECT doc_id, coalesce({_NAMED}, '') AS v FROM documents)")
 def dictionary_match(s, d):
     return t(s, d, "documents").select("doc_id", X.dataset_names(F.expr(_NAMED)).alias("names"))
 
@@ -457,7 +457,7 @@ def range_checks(s, d):
 def attributions(s, d):
     said = F.when(F.col("turn") % 3 == 0, "We see that ").when(F.col("turn") % 3 == 1, "Smith et al. see that ").otherwise("")
     c = t(s, d, "conversations").select("conv_id", "turn", "role", F.concat(said, F.col("text")).alias("text"))
-    none = F.lit(None).cast("string")
+    none = F.lit(None).cast("int")
     return c.select("conv_id", "turn", C.attribute("text", F.substring("text", 1, 30), F.lit("paragraph"), F.lit("results"), none, F.lit(None).cast("array<string>"))["attribution"].alias("attribution"))
 
 

@@ -40,7 +40,8 @@ SECTION = "We propose a system. Our method is new. We report results."
     ("The Dice score was 0.9.", "Dice score was 0.9", {}, "UNKNOWN"),
 ])
 def test_attribution(context, span, more, who):
-    got = C.attribution(context, span, more.get("kind"), more.get("section"), more.get("around"), more.get("names"))
+    strong = C.strong_cues(more["around"]) if "around" in more else None
+    got = C.attribution(context, span, more.get("kind"), more.get("section"), strong, more.get("names"))
     assert got["attribution"] == who and 0 < got["confidence"] <= 0.9
 
 
@@ -49,7 +50,7 @@ def test_supporting_sentence():
     assert C.supporting_sentence("MODEL reached  91.5", text) == "The model reached 91.5 percent."
     assert C.supporting_sentence("91.5 was seen", text) == "The model reached 91.5 percent."
     assert C.supporting_sentence("words about tables", text) == "Other words about tables follow here."
-    assert C.supporting_sentence("nothing like it", text) == "nothing like it" and C.supporting_sentence(None, None) == ""
+    assert C.supporting_sentence("nothing like it", text) == "nothing like it" and C.supporting_sentence(None, text) == "" and C.supporting_sentence("x", None) is None
 
 
 RECORDS = "paper_id int, datasets array<string>, metrics array<string>, results string, status string, surnames array<string>"
