@@ -67,13 +67,6 @@ def regressions(before: dict[str, Column], after: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(before[k] & ~after[k], F.lit(f"{k}_lost")) for k in before)))
 
 
-def schema_paths(df: DataFrame, text: str) -> DataFrame:
-    """(key, kind, n): keys of JSON objects with the kinds of their values."""
-    keys = df.select(F.col(text).alias("t"), F.explode(F.json_object_keys(F.col(text))).alias("key"))
-    each = keys.select("key", F.regexp_extract(F.schema_of_variant(F.try_variant_get(F.try_parse_json("t"), "$", "variant")), ".*", 0).alias("kind"))
-    return each.groupBy("key", "kind").agg(F.count("*").alias("n"))
-
-
 def invariants(tests: dict[str, DataFrame]) -> DataFrame:
     """One row of booleans: whether each table of violations is empty."""
     out = None
