@@ -67,33 +67,30 @@ def gated(spark, results, cells=CELL_ROWS, passages=None, guarded=True, **more):
     return {(r["field"], r["claim_no"]): r for r in rows}
 
 
-def one(spark, results, **more):
-    r = gated(spark, results, **more)["results", 0]
-    return r["binding"], r["final"], r["reason"]
+def each(spark, sentences, **more):
+    """(binding, final, reason) of each sentence of the results, all through one gate."""
+    rows = gated(spark, " ".join(sentences), **more)
+    return {r["value"]: (r["binding"], r["final"], r["reason"]) for r in rows.values()}
 
 
 def test_binding_end_to_end(spark):
-    assert one(spark, "Our method achieves a Dice of 91.4.") == ("bound", "RETURNED", None)
-    assert one(spark, "Our method achieves a Dice of 85.1.") == ("wrong_cell", "ABSTAINED", "binding_wrong_cell")
-    assert one(spark, "Our method achieves a Dice of 91.4.", cells=[]) == ("pdf_only", "ABSTAINED", "unverifiable_binding")
-    assert one(spark, "U-Net reaches a Dice of 85.1.")[0] == "bound"
-    assert one(spark, "Our method achieves a Dice of 407.") [2] == "metric_value_out_of_range"
-    assert one(spark, "We also see a Dice of 0.91 overall.") == ("not_a_table_claim", "RETURNED", None)
-    ablation = [(*c[:5], "Table 2: Ablation of parts") for c in CELL_ROWS]
-    assert one(spark, "Our method achieves a Dice of 91.4.", cells=ablation)[2] == "bound_to_ablation_table"
+    right, wrong, other, high, prose = "Our method achieves a Dice of 91.4.", "Our method achieves a Dice of 85.1.", "U-Net reaches a Dice of 85.1.", "Our method achieves a Dice of 407.", "We also see a Dice of 0.91 overall."
+    got = each(spark, [right, wrong, other, high, prose])
+    assert got[right] == ("bound", "RETURNED", None) and got[wrong] == ("wrong_cell", "ABSTAINED", "binding_wrong_cell")
+    assert got[other][0] == "bound" and got[high][2] == "metric_value_out_of_range" and got[prose] == ("not_a_table_claim", "RETURNED", None)
+    assert each(spark, [right], cells=[]) == {right: ("pdf_only", "ABSTAINED", "unverifiable_binding")}
+    assert each(spark, [right], cells=[(*c[:5], "Table 2: Ablation of parts") for c in CELL_ROWS])[right][2] == "bound_to_ablation_table"
 
 
 def test_guard(spark):
     cells = [(1, 0, "Ours", "Dice", "0.87 ± 0.06", "T1"), (1, 1, "U-Net", "Dice", "−0.12", "T1"), (1, 2, "Baseline", "Dice", "0.150", "T1"), (1, 3, "A", "Score", "0.15", "T1"), (1, 4, "B", "Score", "150", "T1"), (1, 5, "C", "Score", "15.2", "T1")]
     texts = [(1, 0, "results", "table", "Table 2: we see 0.93 and 0.89 for Dice"), (1, 1, "results", "paragraph", "We got 0.150 overall here. We reach a Dice 0.93 here. We reach Dice 0.91 in prose. We gain 15 points overall now.")]
-    run = lambda text, guarded: one(spark, text, cells=cells, passages=texts, guarded=guarded)
-    assert run("We got 0.150 overall here.", False)[:2] == ("not_bindable", "RETURNED")
-    assert run("We got 0.150 overall here.", True)[1:] == ("ABSTAINED", "table_value_unbound")
-    assert run("We reach a Dice 0.93 here.", False)[:2] == ("not_a_table_claim", "RETURNED")
-    assert run("We reach a Dice 0.93 here.", True)[2] == "table_value_unbound"
-    assert run("We reach Dice 0.91 in prose.", True)[:2] == ("not_a_table_claim", "RETURNED")
-    assert run("We gain 15 points overall now.", True)[1] == "RETURNED"  # a whole number, no part of 150 or 0.15
-    assert run("We got 0.87±0.06 overall here.", True)[2] == "table_value_unbound"
+    a, b, c, d, e = "We got 0.150 overall here.", "We reach a Dice 0.93 here.", "We reach Dice 0.91 in prose.", "We gain 15 points overall now.", "We got 0.87±0.06 overall here."
+    legacy = each(spark, [a, b, c, d, e], cells=cells, passages=texts, guarded=False)
+    assert legacy[a][:2] == ("not_bindable", "RETURNED") and legacy[b][:2] == ("not_a_table_claim", "RETURNED")
+    guarded = each(spark, [a, b, c, d, e], cells=cells, passages=texts)
+    assert {guarded[x][2] for x in (a, b, e)} == {"table_value_unbound"} and guarded[c][:2] == ("not_a_table_claim", "RETURNED")
+    assert guarded[d][1] == "RETURNED"  # a whole number, no part of 150 or 0.15
 
 
 def test_claims_grounding_and_signals(spark):
