@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidenta.llm.common import blocks, pieces, slices
+from evidenta.llm.common import blocks, fresh, pieces, slices
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of 50,257 entries.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -237,9 +237,10 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", keep_ids: bool
     made += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * keep_ids + [T.StructField("decoded", T.StringType())] * keep_text
     names = {f.name for f in made}
     clash = text in names
-    source = df.withColumnRenamed(text, "__text") if clash else df
-    column = "__text" if clash else text
-    kept = [f for f in source.schema.fields if f.name not in names and f.name != "__text"]
+    hidden = fresh(df, "__text")
+    source = df.withColumnRenamed(text, hidden) if clash else df
+    column = hidden if clash else text
+    kept = [f for f in source.schema.fields if f.name not in names and f.name != hidden]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -83,15 +83,18 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """`df` with a unique number for each row, and the name of that column, which no other column has.
 
     A scan with projections and filters is numbered in place, since its files fix partitions and order; rows of any other plan
-    are written to the shared folder with their numbers, so that each branch that reads them sees the same ones.
+    are written to the shared folder with their numbers, so that each branch that reads them sees the same ones. How files are
+    split must not follow the executors that happen to be there, so the session's least number of splits is set if it is unset.
     """
+    spark, splits = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(splits, None) is None:
+        spark.conf.set(splits, str(spark.sparkContext.defaultParallelism))
     name = fresh(df, "__row")
     out = df.withColumn(name, F.monotonically_increasing_id())
-    plan, nodes = df._jdf.queryExecution().optimizedPlan(), []
-    todo = [plan]
+    nodes, todo = [], [df._jdf.queryExecution().optimizedPlan()]
     while todo:
         x = todo.pop()
-        nodes.append(x.nodeName() if plan.deterministic() else "")
+        nodes.append(x.nodeName() if x.deterministic() else "")
         inner = x.children()
         todo += [inner.apply(k) for k in range(inner.size())]
     return (out if all(n.split(" ")[0] in IN_PLACE for n in nodes) else materialise(out)), name

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidenta.llm.common import slices
+from evidenta.llm.common import fresh, slices
 
 #: Families of languages that are easily confused; any other language is a family of its own.
 FAMILIES = {
@@ -170,9 +170,10 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     names = {f.name for f in made}
-    source = df.withColumnRenamed(text, "__text") if text in names else df
-    column = "__text" if text in names else text
-    kept = [f for f in source.schema.fields if f.name not in names and f.name != "__text"]
+    hidden = fresh(df, "__text")
+    source = df.withColumnRenamed(text, hidden) if text in names else df
+    column = hidden if text in names else text
+    kept = [f for f in source.schema.fields if f.name not in names and f.name != hidden]
     shared = df.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,8 +40,10 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     null text has none. n_repeat_words counts the words inside five-word windows that occur twice or more in the text, the
     first occurrence included: windows are found by 64-bit hashes, and those whose hash repeats are compared as text.
     """
-    p = prefix
-    name = lambda k: F.col(f"{p}__{k}")
+    p, own = prefix, prefix + "__"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    name = lambda k: F.col(own + k)
     w, ln, h, dup, cand, st = map(name, ("words", "lines", "hashes", "dup", "cand", "starts"))
     whole = F.coalesce(F.col(text), F.lit(""))
     at = lambda i, k: F.get(w, i + k)
@@ -59,7 +61,7 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     }
     out = df
     for k, v in steps.items():
-        out = out.withColumn(f"{p}__{k}", v)
+        out = out.withColumn(own + k, v)
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
     made = {
         "n_words": F.size(w).cast("long"),
@@ -75,7 +77,7 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         "n_bullet_lines": _count(ln, lambda x: x.rlike(r"^\s*[-*\x{2022}]\s")),
         "n_ellipsis_lines": _count(ln, lambda x: x.rlike(r"(\.\.\.|\x{2026})\s*$")),
     }
-    return out.withColumns({p + k: v for k, v in made.items()}).drop(*(f"{p}__{k}" for k in steps))
+    return out.withColumns({p + k: v for k, v in made.items()}).drop(*(own + k for k in steps))
 
 
 def violation(rule: tuple) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidenta.llm.common import materialise, slices
+from evidenta.llm.common import fresh, materialise, slices
 from evidenta.llm.components import components, hub_join
 
 SEED = 42
@@ -62,9 +62,10 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", name: str = "simhash") -> DataFrame:
     """Add the fingerprint of `text` as a long; other columns pass through, one of that name is replaced."""
-    source = df.withColumnRenamed(text, "__text") if text == name else df
-    column = "__text" if text == name else text
-    kept = [f for f in source.schema.fields if f.name not in (name, "__text")]
+    hidden = fresh(df, "__text")
+    source = df.withColumnRenamed(text, hidden) if text == name else df
+    column = hidden if text == name else text
+    kept = [f for f in source.schema.fields if f.name not in (name, hidden)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

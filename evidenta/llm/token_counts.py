@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidenta.llm.common import slices
+from evidenta.llm.common import fresh, slices
 
 #: A boundary so close to a cut end isn't trusted: special strings and contractions may be cut there.
 MARGIN = 64
@@ -108,9 +108,10 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512,
     """
     made = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     names = {f.name for f in made}
-    source = df.withColumnRenamed(text, "__text") if text in names else df
-    column = "__text" if text in names else text
-    kept = [f for f in source.schema.fields if f.name not in names and f.name != "__text"]
+    hidden = fresh(df, "__text")
+    source = df.withColumnRenamed(text, hidden) if text in names else df
+    column = hidden if text in names else text
+    kept = [f for f in source.schema.fields if f.name not in names and f.name != hidden]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path, chunk_chars, overlap)

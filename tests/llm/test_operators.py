@@ -467,13 +467,13 @@ def test_html_longest_common_subsequence():
 
 
 def test_empty_tables_and_clashing_names(spark, docs):
-    clash = docs.withColumns({c: F.lit("mine") for c in ("n_words", "kept", "items", "n_hit", "n_tokens", "simhash_", "lang_pred", "score", "log_score")})
+    clash = docs.withColumns({c: F.lit("mine") for c in ("n_words", "kept", "items", "n_hit", "n_tokens", "simhash", "component_id", "lang_pred", "score", "log_score", "__text", "__words", "__row", "__w", "__item")})
     bench = spark.createDataFrame([(1, TEXTS[0]), (2, None)], "item_id long, text string")
     for rows, n in ((clash, len(TEXTS)), (clash.where("false"), 0)):
-        assert quality.quality_rules(rows).count() == n
-        assert decontaminate.decontaminate(rows, bench).count() == n
-        assert lm_score.lm_scores(rows).count() == n
-        assert len(simhash.near_duplicates(rows).collect()) == n
+        assert quality.quality_rules(rows).where("__words = 'mine'").count() == n
+        assert decontaminate.decontaminate(rows, bench).where("__row = 'mine' and __w = 'mine'").count() == n
+        assert lm_score.lm_scores(rows).where("__row = 'mine'").count() == n
+        assert len(simhash.near_duplicates(rows).select("component_id", "__text").collect()) == n
         assert len(token_counts.token_counts(rows, VOCABULARY).collect()) == n
         assert len(bpe.bpe_round_trip(rows, VOCABULARY).collect()) == n
 
