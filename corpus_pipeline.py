@@ -6,14 +6,12 @@ of documents. Repeated rows, nulls and empty tables are handled as each operator
 
 from __future__ import annotations
 
-from functools import reduce
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidenta.llm import bpe, decontaminate, language, quality, simhash
-from evidenta.llm.common import fresh, numbered, read, scratch
+from evidenta.llm.common import delete, fresh, numbered, read, scratch
 
 #: A language is accepted from this score on.
 LEAST_SCORE = 0.52
@@ -22,14 +20,15 @@ LEAST_SCORE = 0.52
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     # a filter isn't pushed below a row number: pushed, it would repeat the nested measures many times over
-    found = quality.quality_rules(docs).withColumn("__at", F.monotonically_increasing_id())
-    return found.where(F.col("kept") & (F.col("__at") >= 0)).select(*docs.columns)
+    at = fresh(docs, "__at")
+    found = quality.quality_rules(docs).withColumn(at, F.monotonically_increasing_id())
+    return found.where(F.col("kept") & (F.col(at) >= 0)).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is hardly more likely than the next one, go."""
-    model = language.train(docs)
-    return language.identify(docs.withColumn("__whole", F.col("text")), model, "__whole").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    model, whole = language.train(docs), fresh(docs, "__whole")
+    return language.identify(docs.withColumn(whole, F.col("text")), model, whole).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again."""
-
-    def step(docs: DataFrame, stage) -> DataFrame:
-        path = scratch(spark, "stage-" + stage[0].replace(" ", "-"))
-        stage[1](spark, docs, sf_dir).write.parquet(path)
-        return spark.read.parquet(path)
-
-    return reduce(step, STAGES, read(spark, sf_dir, "documents"))
+    """All stages, each written as Parquet and read again; what a stage has written is removed once the next one is."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = scratch(spark, "stage-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs
