@@ -58,9 +58,11 @@ def ground(claims: DataFrame, passages: DataFrame, paper: str = "paper_id") -> D
     inner = F.when(F.size(spaced) > 2, F.slice(spaced, 2, F.greatest(F.size(spaced) - 2, F.lit(1))))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = c.withColumn("word", longest)
-    there = p.select(paper, "passage_no", "p", F.explode(F.array_distinct(F.split("p", " "))).alias("word"))
+    there = p.select(paper, "passage_no", F.explode(F.array_distinct(F.split("p", " "))).alias("word"))
     holds = F.expr("contains(p, v)")
-    long = keyed.where("word is not null").join(there, [paper, "word"]).where(holds)
+    # pairs first, by their keys; texts are joined to those only
+    pairs = keyed.where("word is not null").select(*key, "word").join(there, [paper, "word"]).select(*key, "passage_no")
+    long = pairs.join(c.select(*key, "v"), key).join(p.select(paper, "passage_no", "p"), [paper, "passage_no"]).where(holds)
     short = keyed.where("word is null").join(p.select(paper, "passage_no", "p"), paper).where(holds)
     exact = long.select(*key, "passage_no").unionByName(short.select(*key, "passage_no"))
     # tokens: counted over the words that both have
