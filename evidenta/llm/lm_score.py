@@ -9,16 +9,19 @@ A repeated n-gram's parts are repeated too, so a score is a sum over lengths: th
 longer n-gram, and for each n-gram that is repeated the difference it makes. The tables hold these differences, and an
 n-gram that isn't repeated needs no row at all.
 
-Texts are read once for words, once for longer n-grams and once for the scores. Fewer than HEAVY words or n-grams of one length
-can hold more than 1 / HEAVY of all words; these, and only these, are broadcast, so no key that is left for the join is hot. A
-pair of such words is keyed by their two numbers instead of a hash, so that its table needs no context column. A bitmap of BITS
-bits, whatever the corpus, tells of most n-grams that they aren't repeated. Of the others, a row for an occurrence (its text
-and key) meets the tables; the join decides, so the bitmap's false positives change nothing but the number of rows.
+Texts are read once for words, once for longer n-grams and once for the scores. N-grams on their way to be counted are packed
+into rows of many keys, since most are there once and a row each costs more than counting them. Fewer than HEAVY words or
+n-grams of one length can hold more than 1 / HEAVY of all words; these, and only these, are broadcast, so no key that is left
+for the join is hot. A pair of such words is keyed by their two numbers instead of a hash, so that its table needs no context
+column. A bitmap of BITS bits, whatever the corpus, tells of most n-grams that they aren't repeated. Of the others, a row for
+an occurrence (its text and key) meets the tables; the join decides, so the bitmap's false positives change nothing but the
+number of rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +44,10 @@ HEAVY = 1 << 22
 BITS = 67108859
 #: Words that are handled at once.
 STEP = 1 << 17
+#: About so many occurrences of n-grams of one length are counted by one task.
+BUCKET = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Bytes of text that are split at once.
 SLICE = 1 << 20
 SEED = 42
@@ -48,6 +55,9 @@ SEED = 42
 PENALTY = round(math.log(ALPHA) * MICRO)
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+_UNSPREAD = np.uint64(pow(int(_MIX[2]), -1, 1 << 64))
+#: Columns of n-grams on their way to be counted; the last four hold arrays.
+PACKED = ["bucket", "level", "keys", "n", "context", "shorter"]
 
 
 def lowered(text: Column) -> Column:
@@ -71,9 +81,32 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     there = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(there)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
     coded = pc.dictionary_encode(flat.filter(pa.array(there)))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return hashes, coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+    return digests(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all of them at once; XXH64 of words of over LONG bytes."""
+    offsets, data = flat_bytes(words)
+    size = np.diff(offsets)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = longer(np.full(len(size), SEED, np.uint64), size.astype(np.uint64))
+    use = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        use = use[size[use] > at]
+        blank = (8 * np.maximum(at + 8 - size[use], 0)).astype(np.uint64)  # bits of the eight bytes that follow the word
+        out[use] = longer(out[use], eight[offsets[use] + at] << blank)
+    for k in np.flatnonzero(size > LONG):
+        out[k] = xxhash.xxh64_intdigest(data[offsets[k] : offsets[k + 1]].tobytes(), SEED)
+    return out
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a column of strings or binaries."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset :][: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return offsets - offsets[0], np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
 
 
 def hashed(kind: int, h: np.ndarray) -> np.ndarray:
@@ -160,23 +193,76 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(df: DataFrame, known: Known, order: int) -> DataFrame:
-    """(level, key, n, context, shorter) of n-grams of 2 .. order words that may be repeated; a pair of numbers has no context."""
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values of a sorted array begin, and their lengths."""
+    first = np.flatnonzero(np.concatenate([[len(x) > 0], x[1:] != x[:-1]]))
+    return first, np.diff(first, append=len(x))
+
+
+def packed(level: int, key: np.ndarray, others: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: its keys, spread evenly and sorted, how often each is there, and what else belongs to it."""
+    spread = key.view(np.uint64) * _MIX[2]
+    order = np.argsort(spread) if others else None
+    spread = spread[order] if others else np.sort(spread)
+    first, n = runs(spread)
+    spread = spread[first]
+    bucket = (spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cut, _ = runs(bucket)
+
+    def column(x: np.ndarray) -> pa.Array:
+        ends = np.append(cut, len(x)) * x.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)])
+
+    more = [column(x[order[first]]) for x in others] or [pa.nulls(len(cut), pa.binary())] * 2
+    heads = [pa.array(bucket[cut].astype(np.int32)), pa.array(np.full(len(cut), level, np.int32))]
+    return pa.RecordBatch.from_arrays([*heads, column(spread), column(n.astype(np.int32)), *more], PACKED)
+
+
+def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(level, key, n, context, shorter) of the keys that are there `least` times or more in the rows of whole buckets."""
+    held = defaultdict(list)
+    for batch in batches:
+        levels, plain = batch.column("level").to_numpy(), batch.column("context").is_null().to_numpy(zero_copy_only=False)
+        for level in np.unique(levels).tolist():
+            for form in (True, False):
+                rows = batch.filter(pa.array((levels == level) & (plain == form)))
+                if rows.num_rows:
+                    held[level, form].append([flat_bytes(rows.column(c))[1].view(t).copy() for c, t in zip(PACKED[2:4] if form else PACKED[2:], (np.uint64, np.int32, np.int64, np.int64))])
+    for level, form in sorted(held):
+        spread, n, *more = (np.concatenate(x) for x in zip(*held.pop((level, form)), strict=True))
+        order = np.argsort(spread)
+        spread = spread[order]
+        first, _ = runs(spread)
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        use = np.flatnonzero(n >= least)
+        at = first[use]
+        key = (spread[at] * _UNSPREAD).view(np.int64)
+        more = [pa.array(x[order[at]]) for x in more] or [pa.nulls(len(at), pa.int64())] * 2
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), pa.array(key), pa.array(n[use]), *more], ["level", "key", "n", "context", "shorter"])
+        yield from (out.slice(k, STEP) for k in range(0, len(at), STEP))
+
+
+def gram_counts(df: DataFrame, known: Known, order: int, least: int, total: int) -> DataFrame:
+    """(level, key, n, context, shorter) of n-grams of 2 .. order words that are there `least` times; a pair of numbers has no context.
+
+    Few n-grams of a task are there twice, so rows of a key each would be no fewer than the occurrences. A row is a bucket of
+    keys, and the buckets are as many as the corpus needs for each to be counted in a task's memory.
+    """
     shared = df.sparkSession.sparkContext.broadcast(known)
-    names = ["level", "key", "n", "context", "shorter"]
+    buckets = total * (order - 1) // BUCKET + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 for *_, block in blocks(part.column("text"), shared.value, order):
                     for level in range(2, order + 1):
-                        _, key, context, shorter = block.level(level)
-                        key, at, n = np.unique(key, return_index=True, return_counts=True)
+                        _, key, *others = block.level(level)
                         plain = (key >= 0) & (key >> 62 == 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(key), pa.array(n.astype(np.int64)), pa.array(context[at], mask=plain), pa.array(shorter[at], mask=plain)], names)
+                        yield packed(level, key[plain], [], buckets)
+                        yield packed(level, key[~plain], [x[~plain] for x in others], buckets)
 
-    found = df.select("text").mapInArrow(run, "level int, key long, n long, context long, shorter long")
-    return found.groupBy("level", "key").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("shorter").alias("shorter"))
+    found = df.select("text").mapInArrow(run, "bucket int, level int, keys binary, n binary, context binary, shorter binary")
+    return found.repartitionById(buckets, "bucket").mapInArrow(lambda rows: counted(rows, least), "level int, key long, n long, context long, shorter long")
 
 
 def differences(counts: DataFrame, below: DataFrame, known: Known, total: int) -> DataFrame:
@@ -259,7 +345,7 @@ def lm_scores(df: DataFrame, text: str = "text", order: int = ORDER, least: int
     tables = [words.select("key", "n", score.alias("micro"), score.alias("hit"))]
     known = [Known(tables[0], total)]
     if order > 1:
-        counts = store(gram_counts(slim, known[0], order).where(F.col("n") >= least), "lm-counts", "level")
+        counts = store(gram_counts(slim, known[0], order, least, total), "lm-counts", "level")
         for level in range(2, order + 1):
             tables.append(store(differences(counts.where(F.col("level") == level), tables[-1], known[0], total), "lm-grams"))
             known.append(Known(tables[-1], total, counts=False))

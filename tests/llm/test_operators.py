@@ -348,6 +348,41 @@ def test_grams_in_blocks(spark, monkeypatch):
     assert found() == whole
 
 
+def test_grams_are_counted_in_rows_of_many_keys(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    blocks = [np.concatenate([rng.integers(0, 1 << 62, 5000), rng.integers(0, 300, 5000), np.full(3000, -7)]) for _ in range(4)]
+    blocks[3][:4000] = blocks[0][:4000]  # repeated in another block only
+    for others in (0, 2):
+        rows = pa.Table.from_batches([lm_score.packed(2, x, [x + 1, x + 2][:others], 9) for x in blocks])
+        assert rows.num_rows == 9 * 4
+        parts = [x for k in range(9) for x in lm_score.counted(iter(rows.filter(pa.compute.equal(rows["bucket"], k)).to_batches()), 2)]
+        got = [tuple(r.values()) for x in parts for r in x.to_pylist()]
+        key, n = np.unique(np.concatenate(blocks), return_counts=True)
+        assert sorted(got) == [(2, k, c, k + 1 if others else None, k + 2 if others else None) for k, c in zip(key.tolist(), n.tolist()) if c > 1]
+    monkeypatch.setattr(lm_score, "BUCKET", 10)
+    docs = spark.createDataFrame([(x,) for x in ["a b c a b", "b c a", "x y", "", "c a b x y z"] * 3], "text string")
+    known = lm_score.Known(spark.createDataFrame([], "key long, n long, micro long"), 1)
+    known.bits[:] = 255
+    found = lm_score.gram_counts(docs, known, 3, 4, 48)
+    want = Counter(tuple(x.split()[i : i + n]) for x in ["a b c a b", "b c a", "x y", "", "c a b x y z"] * 3 for n in (2, 3) for i in range(len(x.split()) - n + 1))
+    assert sorted((r["level"], r["n"]) for r in found.collect()) == sorted((len(g), n) for g, n in want.items() if n >= 4)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # no row for a single n-gram meets one
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    words = ["a" * n + c for n in range(140) for c in ("", "b", "\0", "\0b", "Z" * 8)] + [str(k) for k in range(20000)] + ["été", "北京", "🙂"]
+    words = sorted(set(words))
+    got = lm_score.digests(pa.array(words))
+    assert len(set(got.tolist())) == len(words)
+    assert lm_score.digests(pa.array(words, pa.large_string()).slice(77, 900)).tolist() == got[77:977].tolist()
+    assert lm_score.digests(pa.array([], pa.string())).tolist() == []
+
+
 def test_html_extraction(spark):
     article = "<article><h1>Title</h1><p>First &amp; long   paragraph of the page, number {}.</p><p>Second text {} here.</p></article>"
     page = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Home</a></nav>" + article + "<div class='comments'><p>reader says</p></div><footer>(c)</footer><script>x()</script></body></html>"
