@@ -1,8 +1,11 @@
 import random
 
+import __spark_entry__ as entry
 from evidenta.functions.claims import similarity
 from evidenta.operators import relational
 
+DIR = "/root/testdata/sf0.001"
+
 
 def test_closest_titles_by_brute_force(spark):
     rng = random.Random(3)
@@ -26,3 +29,9 @@ def test_closest_titles_by_brute_force(spark):
             want[g, a] = (best[2], best[0])
     got = relational.closest_titles(spark.createDataFrame(cited, "g int, cited string"), spark.createDataFrame(real, "g int, real string, real_id int"), "g").collect()
     assert {(r["g"], r["cited"]): (r["real_id"], r["ratio"]) for r in got} == want and len({len(a) for _, a in want}) > 12
+
+
+def test_title_fuzzy_takes_every_customer(spark):
+    keys = {r[0]: r[1] for r in spark.read.parquet(f"{DIR}/customer.parquet").select("c_custkey", "c_name").collect()}
+    got = entry.queries()["title_fuzzy"](spark, DIR).collect()
+    assert {(r["c_custkey"], r["real_id"], r["cited"]) for r in got} == {(k, k, x.replace("Cust", "Cuts")) for k, x in keys.items()}
