@@ -1,21 +1,31 @@
 """The evidence gate: every claim of a paper is returned with its evidence, or abstains with its reason.
 
-All tests are columns computed first; the decision is the first rule that fails. Claims meet the passages and table cells of
-their paper by keys they share (a word, a number), not all of them: texts are compared only where such a key does, and the
-preferred one is kept by an aggregate, so no paper's passages are gathered.
+All tests are columns computed first; the decision is the first rule that fails. Claims meet the table cells of their paper by
+numbers they share. They meet its passages in buckets of papers, where a paper with many has them found by their words, so work
+doesn't grow as claims times passages.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidenta.functions import claims as C
 from evidenta.functions import text as X
+from evidenta.sources.tables import stored
 
 #: Sections whose passages are preferred, and characters of a span and of a section's context.
 PREFERRED, SPAN, CONTEXT = ("results", "experimental_setup", "discussion"), 400, 6000
 FIELDS = ("datasets", "metrics", "results")
+#: Groups that papers are dealt into, and passages of a paper up to which each is looked through.
+BUCKETS, FEW = 1 << 15, 12
+
+_WORD = re.compile(r"[a-z0-9][a-z0-9\-]*")
 
 
 def acquisition_status(status: Column, has_full_text: Column) -> Column:
@@ -40,7 +50,7 @@ def explode_claims(records: DataFrame, paper: str = "paper_id") -> DataFrame:
     return records.select(paper, F.coalesce(full, F.lit(False)).alias("full_text"), F.explode(each).alias("c")).select(paper, "full_text", "c.*")
 
 
-def ground(claims: DataFrame, passages: DataFrame, paper: str = "paper_id") -> DataFrame:
+def ground(claims: DataFrame, passages: DataFrame, paper: str = "paper_id", only: Column | None = None) -> DataFrame:
     """Add passage_no of the passage that states a claim, or null.
 
     A passage states a value that it holds, letter case and white space apart. If a result has numbers, all of them stand in
@@ -48,35 +58,77 @@ def ground(claims: DataFrame, passages: DataFrame, paper: str = "paper_id") -> D
     abstract come first, then those of PREFERRED sections, then the first in order. A value of fewer than four characters is
     never grounded.
 
-    `claims` has paper, field, claim_no and value; `passages` has paper, passage_no, section and text.
+    `claims` has paper, field, claim_no and value, and of them those are looked for that `only` holds for; `passages` has paper,
+    passage_no, section and text. Both meet in buckets of papers.
     """
-    key = [paper, "field", "claim_no"]
-    c = claims.select(*key, "value", X.collapse(F.col("value")).alias("v")).where(F.length("v") >= 4)
-    p = passages.select(paper, "passage_no", X.text_of(F.col("text")).alias("text"), X.collapse(F.col("text")).alias("p"))
-    # a value of three words or more holds whole words of the passage between its ends: the longest is the key
-    spaced = F.split("v", " ")
-    inner = F.when(F.size(spaced) > 2, F.slice(spaced, 2, F.greatest(F.size(spaced) - 2, F.lit(1))))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = c.withColumn("word", longest)
-    there = p.select(paper, "passage_no", F.explode(F.array_distinct(F.split("p", " "))).alias("word"))
-    holds = F.expr("contains(p, v)")
-    # pairs first, by their keys; texts are joined to those only
-    pairs = keyed.where("word is not null").select(*key, "word").join(there, [paper, "word"]).select(*key, "passage_no")
-    long = pairs.join(c.select(*key, "v"), key).join(p.select(paper, "passage_no", "p"), [paper, "passage_no"]).where(holds)
-    short = keyed.where("word is null").join(p.select(paper, "passage_no", "p"), paper).where(holds)
-    exact = long.select(*key, "passage_no").unionByName(short.select(*key, "passage_no"))
-    # tokens: counted over the words that both have
-    tokens = c.select(*key, "v", F.when(F.col("field") == "results", F.array_distinct(X.anchors(F.col("value")))).otherwise(F.array().cast("array<string>")).alias("numbers"), X.sig_tokens(F.col("value")).alias("t")).where("size(t) >= 2")
-    words = p.select(paper, "passage_no", F.explode(F.array_distinct(X.all_words(F.col("p")))).alias("word"))
-    shared = tokens.select(*key, F.size("t").alias("n"), F.size("numbers").alias("n_numbers"), F.explode("t").alias("word")).join(words, [paper, "word"]).groupBy(*key, "passage_no", "n", "n_numbers").agg(F.count("*").alias("shared"))
-    near = shared.where((F.col("shared") >= 2) & ((F.col("n_numbers") > 0) | (5 * F.col("shared") >= 4 * F.col("n"))))
-    plain = near.where("n_numbers = 0").select(*key, "passage_no")
-    stated = near.where("n_numbers > 0").select(*key, "passage_no").join(tokens.select(*key, "numbers"), key).join(p.select(paper, "passage_no", "text"), [paper, "passage_no"])
-    numbered = stated.where(F.forall("numbers", lambda x: F.col("text").contains(x))).select(*key, "passage_no")
-    hits = exact.unionByName(plain).unionByName(numbered).join(passages.select(paper, "passage_no", "section"), [paper, "passage_no"])
+    value = X.collapse(F.col("value")) if only is None else F.when(only, X.collapse(F.col("value")))
+    numbers = F.when(F.col("field") == "results", F.array_distinct(X.anchors(F.col("value")))).otherwise(F.array().cast("array<string>"))
+    bucket = F.pmod(F.xxhash64(paper), F.lit(BUCKETS)).alias("__bucket")
     section = F.coalesce("section", F.lit(""))
-    best = hits.groupBy(*key).agg(F.min(F.struct((section == "abstract").alias("a"), (~section.isin(*PREFERRED)).alias("b"), "passage_no")).alias("m")).select(*key, F.col("m.passage_no").alias("passage_no"))
-    return claims.join(best, key, "left")
+    c = claims.select("*", F.when(F.length(value) >= 4, value).alias("__v"), numbers.alias("__numbers"), bucket)
+    p = passages.select(paper, "passage_no", (section == "abstract").alias("a"), (~section.isin(*PREFERRED)).alias("b"), X.collapse(F.col("text")).alias("p"), bucket)
+    own, kind = claims.columns, next(x for x in passages.schema if x.name == "passage_no")
+    schema = T.StructType([*claims.schema, T.StructField("passage_no", kind.dataType)])
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        papers: dict[object, list] = defaultdict(list)
+        for row in zip(*(right[n].to_pylist() for n in (paper, "a", "b", "passage_no", "p")), strict=True):
+            papers[row[0]].append(row[1:])
+        papers = {k: Passages(x) for k, x in papers.items() if k is not None}
+        asked = zip(*(left[n].to_pylist() for n in (paper, "__v", "__numbers")), strict=True)
+        found = [papers[k].best(v, numbers) if v is not None and k in papers else None for k, v, numbers in asked]
+        return left.select(own).append_column("passage_no", pa.array(found, right.schema.field("passage_no").type))
+
+    return c.groupBy("__bucket").cogroup(p.groupBy("__bucket")).applyInArrow(pair, schema)
+
+
+class Passages:
+    """The passages of a paper in order of preference, and which of them state a value. Many are found by their words."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2]))
+        self.numbers, self.texts = [r[2] for r in rows], [r[3] for r in rows]
+        self.few = len(rows) <= FEW
+        self.sets: dict[int, set] = {}
+        self.by_piece = self.by_word = None
+
+    def words(self, k: int) -> set:
+        if k not in self.sets:
+            self.sets[k] = {*_WORD.findall(self.texts[k])}
+        return self.sets[k]
+
+    def places(self, pieces) -> dict[str, list[int]]:
+        out = defaultdict(list)
+        for k in range(len(self.texts)):
+            for x in pieces(k):
+                out[x].append(k)
+        return out
+
+    def holding(self, v: str) -> int | None:
+        """The first that holds a value. One of three words or more holds whole words of the passage between its ends."""
+        inner = v.split(" ")[1:-1]
+        if self.few or not inner:
+            return next((k for k, text in enumerate(self.texts) if v in text), None)
+        if self.by_piece is None:
+            self.by_piece = self.places(lambda k: {*self.texts[k].split(" ")})
+        return next((k for k in min((self.by_piece.get(w, ()) for w in inner), key=len) if v in self.texts[k]), None)
+
+    def best(self, v: str, numbers: list[str]) -> object:
+        """passage_no of the first that states the value: holds it, or has enough of its tokens and its numbers."""
+        held = self.holding(v)
+        end = len(self.texts) if held is None else held
+        tokens = {x for x in _WORD.findall(v) if len(x) >= 4 and x not in X.STOP_WORDS} if end else ()
+        if len(tokens) >= 2:
+            if self.few:
+                shared = ((k, len(tokens & self.words(k))) for k in range(end))
+            else:
+                if self.by_word is None:
+                    self.by_word = self.places(lambda k: {*_WORD.findall(self.texts[k])})
+                shared = sorted(Counter(k for x in tokens for k in self.by_word.get(x, ()) if k < end).items())
+            for k, n in shared:
+                if n >= 2 and (all(x in self.texts[k] for x in numbers) if numbers else 5 * n >= 4 * len(tokens)):
+                    return self.numbers[k]
+        return None if held is None else self.numbers[held]
 
 
 def distinct_cells(cells: DataFrame, paper: str = "paper_id") -> DataFrame:
@@ -97,27 +149,29 @@ def bind(claims: DataFrame, cells: DataFrame, paper: str = "paper_id") -> DataFr
     """
     key = [paper, "field", "claim_no"]
     own = distinct_cells(cells, paper).withColumn("metrics", C.metric_tokens("column_header"))
-    c = claims.select(*key, "value", X.anchors(F.col("value")).alias("numbers"), C.subject(F.col("value")).alias("subject")).withColumn("named", C.metric_tokens("value"))
-    # which claims name a column of their paper
-    columns = own.select(paper, F.explode("metrics").alias("metric")).distinct()
-    bindable = c.select(*key, F.explode("named").alias("metric")).join(columns, [paper, "metric"], "left_semi").select(*key).distinct().withColumn("bindable", F.lit(True))
+    # a paper's metrics are words of one vocabulary; claims are read for theirs only where there are cells to bind them to
+    columns = own.groupBy(paper).agg(F.array_distinct(F.flatten(F.collect_set("metrics"))).alias("columns"))
+    numbers = X.anchors(F.col("value"))
+    c = claims.join(columns, paper, "left").withColumn("__numbers", numbers)
+    may = F.col("columns").isNotNull() & (F.size("__numbers") > 0)
+    c = c.withColumn("named", C.metric_tokens(F.when(may, F.col("value"))))
     # a cell has a number if that is all of it but its marks, or stands in it as a whole
     bare = F.regexp_replace("value", r"(?U)[^\d.\-]", "")
     within = F.regexp_extract_all("value", F.lit(r"(?U)(?<![\d.])\d+(?:\.\d+)?(?!\d)"), 0)
     # 82.1 stands in 82.15 for no rule, but 82 stands before the point of 82.1
     heads = F.transform(within, lambda x: F.substring_index(x, ".", 1))
     numbered = own.select(paper, "cell_no", "row_label", "caption", "metrics", F.explode(F.array_distinct(F.concat(F.array(bare), within, heads))).alias("number"))
-    met = c.select(*key, "subject", "named", F.posexplode("numbers").alias("number_no", "number")).join(numbered, [paper, "number"])
+    met = c.where("columns is not null").select(*key, C.subject(F.col("value")).alias("subject"), "named", F.posexplode("__numbers").alias("number_no", "number")).join(numbered, [paper, "number"])
     in_column = F.arrays_overlap("named", "metrics")
     letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
     by_word = F.arrays_overlap(X.all_words(F.col("subject")), X.all_words(F.col("row_label"))) | letters(F.col("row_label")).contains(F.substring(letters(F.col("subject")), 1, 12))
     on_row = F.when(F.col("subject").isNull(), F.lower("row_label").rlike("(?i)" + C.OWN_ROW)).otherwise((F.size(X.all_words(F.col("subject"))) > 0) & by_word)
     case = F.when(in_column & on_row, 0).when(in_column, 1).otherwise(2)
     first = met.groupBy(*key).agg(F.min(F.struct("number_no", case.alias("case"), "cell_no", "caption")).alias("m")).select(*key, "m.case", F.col("m.caption").alias("caption"))
-    any_cell = own.select(paper).distinct().withColumn("structured", F.lit(True))
-    out = claims.join(any_cell, paper, "left").join(c.select(*key, F.size("numbers").alias("n_numbers")), key).join(bindable, key, "left").join(first, key, "left").join(table_kinds(own, paper).withColumnRenamed("kind", "__kind"), [paper, "caption"], "left")
-    status = F.when(F.col("structured").isNull(), "pdf_only").when(F.col("n_numbers") == 0, "no_number").when(F.col("bindable").isNull(), "not_bindable").when(F.col("case") == 0, "bound").when(F.col("case").isNotNull(), "wrong_cell").otherwise("not_a_table_claim")
-    return out.withColumn("binding", status).withColumn("table_kind", F.when(F.col("binding") == "bound", F.col("__kind"))).drop("structured", "n_numbers", "bindable", "case", "caption", "__kind")
+    first = first.join(table_kinds(own, paper).withColumnRenamed("kind", "__kind"), [paper, "caption"], "left").drop("caption")
+    out = c.join(first, key, "left")
+    status = F.when(F.col("columns").isNull(), "pdf_only").when(F.size("__numbers") == 0, "no_number").when(~F.arrays_overlap("named", "columns"), "not_bindable").when(F.col("case") == 0, "bound").when(F.col("case").isNotNull(), "wrong_cell").otherwise("not_a_table_claim")
+    return out.withColumn("binding", status).withColumn("table_kind", F.when(F.col("binding") == "bound", F.col("__kind"))).drop("columns", "__numbers", "named", "case", "__kind")
 
 
 def table_kinds(cells: DataFrame, paper: str = "paper_id") -> DataFrame:
@@ -154,9 +208,9 @@ def gate(records: DataFrame, passages: DataFrame, cells: DataFrame, guarded: boo
     """
     claims = explode_claims(records, paper).withColumn("sane", C.sane(F.col("field"), F.col("value")))
     quantity = F.col("field").isin("metrics", "results")
-    claims = claims.withColumn("range", F.when(quantity & F.col("value").rlike("[0-9]"), C.range_check("value")))
-    tested = guard(bind(ground(claims, passages, paper), cells, paper), cells, passages, paper)
-    names = records.select(paper, (F.col("surnames") if "surnames" in records.columns else F.lit(None).cast("array<string>")).alias("surnames"))
+    # claims are read several times
+    claims = stored(claims.withColumn("range", C.range_check(F.when(quantity & F.col("value").rlike("[0-9]"), F.col("value")))))
+    tested = guard(bind(claims, cells, paper), cells, passages, paper)
     texts = passages.select(paper, "passage_no", "section", "block_type", "text")
     number = quantity & (F.size(X.anchors(F.col("value"))) > 0)
     bound_to = lambda kind: number & (F.col("binding") == "bound") & (F.col("table_kind") == kind)
@@ -169,12 +223,13 @@ def gate(records: DataFrame, passages: DataFrame, cells: DataFrame, guarded: boo
         .when(bound_to("ablation"), "bound_to_ablation_table")
         .when(bound_to("other"), "bound_to_other_table")
         .when(F.lit(guarded) & number & F.col("binding").isin("not_bindable", "not_a_table_claim") & F.col("in_table"), "table_value_unbound")
-        .when(F.col("passage_no").isNull(), "evidence_span_not_found_in_paper_chunks")
     )
-    # only claims that pass all this need their passage's text
-    open_ = tested.withColumn("early", early).withColumn("at", F.when(F.col("early").isNull(), F.col("passage_no")))
+    # only claims that pass all this need a passage, and those that have one its text
+    found = ground(tested.withColumn("early", early), passages, paper, F.col("early").isNull()).withColumnRenamed("passage_no", "at")
+    open_ = found.withColumn("early", F.coalesce("early", F.when(F.col("at").isNull(), "evidence_span_not_found_in_paper_chunks")))
     strong = section_context(passages, paper).select(paper, "section", C.cues(F.col("context")).alias("strong"))
-    full = open_.join(texts.withColumnRenamed("passage_no", "at"), [paper, "at"], "left").join(strong, [paper, "section"], "left").join(names, paper, "left")
+    full = open_.join(texts.withColumnRenamed("passage_no", "at"), [paper, "at"], "left").join(strong, [paper, "section"], "left")
+    full = full.join(records.select(paper, "surnames"), paper, "left") if "surnames" in records.columns else full.withColumn("surnames", F.lit(None).cast("array<string>"))
     full = full.withColumn("evidence_span", F.substring(C.support("value", "text"), 1, SPAN)).withColumn("whose", C.attribute(F.when(quantity, F.col("text")), "value", "block_type", "section", "strong", "surnames"))
     reason = F.coalesce("early", F.when(F.col("whose.attribution") == "CITED_PAPER", "attributed_to_cited_work").when(F.col("whose.attribution") == "UNKNOWN", "ownership_unverified"))
     out = full.withColumn("reason", reason)
