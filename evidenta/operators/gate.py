@@ -23,7 +23,7 @@ from evidenta.sources.tables import stored
 PREFERRED, SPAN, CONTEXT = ("results", "experimental_setup", "discussion"), 400, 6000
 FIELDS = ("datasets", "metrics", "results")
 #: Groups that papers are dealt into, and passages of a paper up to which each is looked through.
-BUCKETS, FEW = 1 << 15, 12
+BUCKETS, FEW = 1 << 13, 12
 
 _WORD = re.compile(r"[a-z0-9][a-z0-9\-]*")
 
@@ -187,7 +187,7 @@ def guard(claims: DataFrame, cells: DataFrame, passages: DataFrame, paper: str =
     of_cells = distinct_cells(cells, paper).select(paper, F.explode(X.numeric_tokens(F.col("value"))).alias("number"))
     of_texts = passages.where("block_type = 'table'").select(paper, F.explode(X.numeric_tokens(F.col("text"))).alias("number"))
     tokens = of_cells.unionByName(of_texts).distinct()
-    hit = claims.select(*key, F.explode(X.claim_numbers(F.col("value"))).alias("number")).join(tokens, [paper, "number"], "left_semi").select(*key).distinct()
+    hit = claims.where(F.col("value").rlike(r"(?U)\d")).select(*key, F.explode(X.claim_numbers(F.col("value"))).alias("number")).join(tokens, [paper, "number"], "left_semi").select(*key).distinct()
     return claims.join(hit.withColumn("in_table", F.lit(True)), key, "left").withColumn("in_table", F.coalesce("in_table", F.lit(False)))
 
 
@@ -226,8 +226,10 @@ def gate(records: DataFrame, passages: DataFrame, cells: DataFrame, guarded: boo
     )
     # only claims that pass all this need a passage, and those that have one its text
     found = ground(tested.withColumn("early", early), passages, paper, F.col("early").isNull()).withColumnRenamed("passage_no", "at")
-    open_ = found.withColumn("early", F.coalesce("early", F.when(F.col("at").isNull(), "evidence_span_not_found_in_paper_chunks")))
-    strong = section_context(passages, paper).select(paper, "section", C.cues(F.col("context")).alias("strong"))
+    open_ = stored(found.withColumn("early", F.coalesce("early", F.when(F.col("at").isNull(), "evidence_span_not_found_in_paper_chunks"))))
+    # the context of a section is asked for by quantities only
+    asking = open_.where(quantity & F.col("at").isNotNull()).select(paper).distinct()
+    strong = section_context(passages.join(asking, paper, "left_semi"), paper).select(paper, "section", C.cues(F.col("context")).alias("strong"))
     full = open_.join(texts.withColumnRenamed("passage_no", "at"), [paper, "at"], "left").join(strong, [paper, "section"], "left")
     full = full.join(records.select(paper, "surnames"), paper, "left") if "surnames" in records.columns else full.withColumn("surnames", F.lit(None).cast("array<string>"))
     full = full.withColumn("evidence_span", F.substring(C.support("value", "text"), 1, SPAN)).withColumn("whose", C.attribute(F.when(quantity, F.col("text")), "value", "block_type", "section", "strong", "surnames"))

@@ -10,6 +10,7 @@ from evidenta.functions import scores as S
 from evidenta.functions import text as X
 from evidenta.operators import chunking, gate, metrics, relational, selection, tables
 from evidenta.plans.catalogue import query
+from evidenta.sources.tables import stored
 from evidenta.sources.tables import table as t
 
 #: White space of X.SPACE for the SQL engine.
@@ -476,7 +477,7 @@ def _gate_items(s, d) -> DataFrame:
     records = cut.select("paper_id", said.alias("datasets"), F.filter("s", lambda x: F.length(x) < 30).alias("metrics"), F.col("text").alias("results"), F.when(F.col("paper_id") % 10 == 0, "ABSTRACT_ONLY").otherwise("FULL_TEXT").alias("status"))
     labels = t(s, d, "labels")
     cells = labels.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("cell_no"), F.lit("ours").alias("row_label"), F.lit("Score").alias("column_header"), F.col("quality").cast("string").alias("value"), F.lit("Table 1: Results").alias("caption"))
-    return gate.gate(records, chunk, cells)
+    return gate.gate(records, stored(chunk), cells)
 
 
 @query()

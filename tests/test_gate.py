@@ -141,3 +141,20 @@ def test_grounding_by_brute_force(spark):
         want[p, f, k] = min(hits, key=lambda t: (t[2] == "abstract", t[2] not in gate.PREFERRED, t[1]))[1] if hits else None
     got = gate.ground(spark.createDataFrame(wanted, "paper_id int, field string, claim_no int, value string"), spark.createDataFrame(texts, PASSAGES)).collect()
     assert {(r["paper_id"], r["field"], r["claim_no"]): r["passage_no"] for r in got} == want and any(x is not None for x in want.values())
+
+
+def test_grounding_makes_no_row_for_every_word(spark):
+    claims = spark.createDataFrame([(1, "results", 0, "gamma ray 12.5")], "paper_id int, field string, claim_no int, value string")
+    out = gate.ground(claims, spark.createDataFrame([(1, 0, "results", "paragraph", "a gamma ray of 12.5")], PASSAGES))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString() and out.first()["passage_no"] is None
+
+    import random
+
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "12.5", "99", "model", "zeta-x"]) for _ in range(n))
+    rows = [(rng.random() < 0.2, rng.random() < 0.5, k, say(9)) for k in range(gate.FEW + 30)]
+    many, few = gate.Passages(rows), gate.Passages(rows)
+    few.few = True
+    asked = [(say(rng.randrange(1, 6)), rng.choice([[], ["12.5"], ["99", "12.5"]])) for _ in range(200)]
+    got = [many.best(*x) for x in asked]
+    assert not many.few and got == [few.best(*x) for x in asked] and {*got} > {None}
